@@ -9,6 +9,53 @@ from pyspark.sql import DataFrame, SparkSession
 from slabwise.llm.common import table
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    c = table(spark, d, "candidates").select(F.lit("candidates.text").alias("field"), F.col("cand_id").alias("rec_id"), "source", "text")
+    p = table(spark, d, "prefs_dpo_5x").select(F.lit("prefs_dpo_5x.rejected").alias("field"), F.col("pref_id").alias("rec_id"), "source", F.col("rejected").alias("text"))
+    return c.unionByName(p)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from slabwise.llm.unfinished import unfinished
+
+    return unfinished(_texts(spark, d)).select("field", "rec_id")
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    from slabwise.llm.unfinished import truncation_report
+
+    return truncation_report(_texts(spark, d))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    p, s = table(spark, d, "prefs_dpo_5x"), table(spark, d, "sft_from_prefs_5x")
+    parts = [(p, "prefs_dpo_5x", "pref_id", "chosen"), (p, "prefs_dpo_5x", "pref_id", "rejected"), (s, "sft_from_prefs_5x", "sft_id", "response")]
+    out = [t.select(F.lit(f"{n}.{c}").alias("field"), F.col(k).alias("rec_id"), "source", "prompt", F.col(c).alias("answer")) for t, n, k, c in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from slabwise.llm.defects import pair_defects
+
+    return pair_defects(_pairs(spark, d)).select("field", "rec_id", "defect")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source gives each defect type."""
+    from pyspark.sql import functions as F
+
+    from slabwise.llm.defects import pair_defects
+
+    pairs = _pairs(spark, d)
+    sources = pairs.select("field", "rec_id", "source").dropDuplicates(["field", "rec_id"])
+    found = pair_defects(pairs).select("field", "rec_id", F.explode("defects").alias("defect"))
+    return found.join(sources, ["field", "rec_id"]).groupBy("field", "source", "defect").agg(F.count("*").alias("n"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from slabwise.llm.topn import top_n
 
@@ -30,7 +77,11 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
     "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_report": p4_report,
     "p6_ids": p6_ids,
     "p7_packing": p7_packing,
 }
