@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -141,13 +142,30 @@ def runs(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return mix64(h[whole]), text[: len(h)][whole]
 
 
+TEXTS = 8192  # texts in a vectorised step; text number and hash share 64 bits
+HASH_BITS = 50
+
+
 def unique_sets(values: np.ndarray, text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(values sorted and unique within each text, their texts, number per text)."""
-    if not len(values):
-        return values, text, np.zeros(n_texts, np.int64)
-    order = np.lexsort((values, text))
-    v, t = values[order], text[order]
-    new = np.ones(len(v), bool)
-    new[1:] = (v[1:] != v[:-1]) | (t[1:] != t[:-1])
-    v, t = v[new], t[new]
-    return v, t, np.bincount(t, minlength=n_texts)
+    """(50-bit values sorted and unique within each text, their texts, number per text)."""
+    key = (text.astype(np.uint64) << _M(HASH_BITS)) | (values >> _M(64 - HASH_BITS))
+    key.sort()
+    if len(key):
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        key = key[new]
+    t = (key >> _M(HASH_BITS)).astype(np.int64)
+    return key & _M((1 << HASH_BITS) - 1), t, np.bincount(t, minlength=n_texts)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared checkpoint folder, which cuts the lineage and
+    survives lost executors; the folder is removed when the application ends."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    jvm, at = sc._jvm, f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(at)

@@ -29,6 +29,59 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation_report(_texts(spark, d))
 
 
+def _overlap(spark: SparkSession, d: str) -> DataFrame:
+    from slabwise.llm.overlap import cross_split
+
+    return cross_split(table(spark, d, "ctamip_dataset"), "rec_id", "split_name", "case_id", "response", "images")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return _overlap(spark, d).select(F.least("a", "b").alias("rec_id_a"), F.greatest("a", "b").alias("rec_id_b"))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping evaluation records and pairs per split and source of the evaluation record."""
+    from pyspark.sql import functions as F
+
+    t = table(spark, d, "ctamip_dataset").select(F.col("rec_id").alias("b"), "split_name", "source").distinct()
+    j = _overlap(spark, d).join(t, "b")
+    return j.groupBy("split_name", "source").agg(F.count("*").alias("n_pairs"), F.countDistinct("b").alias("n_records"), *[F.count_if(w).alias(f"n_{w}") for w in ("by_case", "by_text", "by_images")])
+
+
+FIELDS = ["candidates.text", "prefs_dpo_5x.chosen", "prefs_dpo_5x.rejected"]
+
+
+def _near(spark: SparkSession, d: str, least: float) -> tuple[DataFrame, DataFrame]:
+    from pyspark.sql import functions as F
+
+    from slabwise.llm.duplicates import near_duplicates
+
+    c, p = table(spark, d, "candidates"), table(spark, d, "prefs_dpo_5x")
+    parts = [(c, "cand_id", "text"), (p, "pref_id", "chosen"), (p, "pref_id", "rejected")]
+    rows = [t.select(F.lit(i).alias("field"), F.col(k).alias("id"), F.col(x).alias("text")) for i, (t, k, x) in enumerate(parts)]
+    return near_duplicates(rows[0].unionByName(rows[1]).unionByName(rows[2]), least)
+
+
+def _named(df: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return df.withColumn("field", F.element_at(F.array(*map(F.lit, FIELDS)), F.col("field") + 1))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from slabwise.llm.duplicates import duplicate_pairs
+
+    return _named(duplicate_pairs(*_near(spark, d, 0.5)))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    from slabwise.llm.duplicates import duplicate_groups
+
+    return _named(duplicate_groups(*_near(spark, d, 0.8)))
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -80,8 +133,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_report": p4_report,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_ids": p6_ids,
     "p7_packing": p7_packing,
 }
