@@ -21,10 +21,10 @@ FUNCTION_WORDS = {
 }
 #: Languages as prompts name them.
 LANGUAGE_NAMES = {
-    "en": "english|englisch|inglés|anglais",
-    "de": "german|deutsch|alemán|allemand",
-    "es": "spanish|spanisch|español|espagnol",
-    "fr": "french|französisch|francés|français",
+    "en": "english englisch englische englischer englischen inglés inglesa anglais anglaise".split(),
+    "de": "german deutsch deutsche deutscher deutschen alemán alemana allemand allemande".split(),
+    "es": "spanish spanisch spanische spanischer spanischen español española espagnol espagnole".split(),
+    "fr": "french französisch französische französischer französischen francés francesa français française".split(),
 }
 #: What declines a task, in the four languages.
 REFUSAL = (
@@ -47,14 +47,20 @@ def _words(text: Column) -> Column:
     return F.expr("regexp_extract_all(lower({}), '[\\\\p{{L}}\\\\p{{N}}]+', 0)".format(text))
 
 
-def empty(text: Column) -> Column:
-    """Nothing but blanks, headings, placeholders or markup; null too."""
+CONTENT_WORDS = 12  # so many different words besides headings can't be an empty answer without markup
+
+
+def empty(text: Column, words: Column) -> Column:
+    """Nothing but blanks, headings, placeholders or markup; null too. words: those of the text."""
     bare = F.regexp_replace(text, _MARKUP, " ")
     bare = F.regexp_replace(bare, rf"(?i)(?<![\p{{L}}])(?:{HEADING})\s*(?::|(?=\W*$)|(?=\W*\n))", " ")
     bare = F.regexp_replace(bare, r"[\s\p{Z}\p{C}\p{P}\p{S}]+", " ")
     bare = F.trim(bare)
     mark = F.trim(F.regexp_replace(text, r"[\s\p{Z}\p{C}\[\](){}<>*_#|\"'.:-]+", " "))
-    return text.isNull() | (bare == "") | mark.rlike(rf"(?i)^(?:{PLACEHOLDER})$") | bare.rlike(rf"(?i)^(?:{PLACEHOLDER.replace('.', ' ?')})$")
+    headings = F.array(*map(F.lit, sorted(set(" ".join(HEADING.replace("(?: first)?", " first").replace("(?:", "|").replace(")", "|").replace("[oó]", "ó").split("|")).split()))))
+    full = (F.size(F.array_except(words, headings)) > CONTENT_WORDS) & ~F.contains(text, F.lit("<"))
+    nothing = (bare == "") | mark.rlike(rf"(?i)^(?:{PLACEHOLDER})$") | bare.rlike(rf"(?i)^(?:{PLACEHOLDER.replace('.', ' ?')})$")
+    return F.when(text.isNull(), True).when(full, False).otherwise(nothing)
 
 
 def _language(words: Column) -> Column:
@@ -84,14 +90,15 @@ def pair_defects(rows: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect("_at", "_pt"))
     is_copy = (F.size("_a") >= COPY_WORDS) & (F.size("_at") > 0) & (shared >= COPY_SHARE * F.size("_at"))
     reports = F.col("answer").rlike(MEASURE) | F.col("answer").rlike(rf"(?i)(?<![\p{{L}}])(?:{HEADING})\W{{0,3}}[:\n]")
-    is_refusal = F.col("answer").rlike(REFUSAL) & ~reports
+    is_refusal = ~reports & F.col("answer").rlike(REFUSAL)
 
-    foreign = r"[\p{IsCyrillic}\p{IsArabic}\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsGreek}\p{IsHebrew}\p{IsDevanagari}\p{IsThai}]"
+    foreign = r"\p{IsCyrillic}\p{IsArabic}\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsGreek}\p{IsHebrew}\p{IsDevanagari}\p{IsThai}"
     la, lp = _language(F.col("_a")), _language(F.col("_p"))
     w = w.withColumn("_la", la).withColumn("_lp", lp)
-    asked = F.coalesce(*[F.when(F.col("prompt").rlike(rf"(?i)(?<![\p{{L}}-])(?:{v})(?:e[nrms]?)?(?![\p{{L}}-])"), F.lit(k)) for k, v in LANGUAGE_NAMES.items()])
-    script = F.length(F.regexp_replace("answer", rf"(?!{foreign}).", "")) > 0.3 * F.length(F.regexp_replace("answer", r"[^\p{L}]", ""))
-    script = script & ~F.coalesce(F.col("prompt"), F.lit("")).rlike(foreign)
+    asked = F.coalesce(*[F.when(F.arrays_overlap("_p", F.array(*map(F.lit, v))), F.lit(k)) for k, v in LANGUAGE_NAMES.items()])
+    letters, alien = F.regexp_replace("answer", r"[^\p{L}]+", ""), F.regexp_replace("answer", rf"[^{foreign}]+", "")
+    wide = F.octet_length("answer") > 1.25 * F.length("answer")  # these scripts take two bytes a letter and more
+    script = F.when(wide, (F.length(alien) > 0.3 * F.length(letters)) & ~F.coalesce(F.col("prompt"), F.lit("")).rlike(f"[{foreign}]")).otherwise(F.lit(False))
     wanted = F.coalesce(asked, F.col("_lp.lang"))
     sure = (F.size("_a") >= LANGUAGE_WORDS) & (F.col("_la.n") >= LANGUAGE_LEAST) & (F.col("_lp.n") >= 3)
     ahead = F.col("_la.n") >= 2 * F.size(F.array_intersect("_a", F.coalesce(*[F.when(wanted == k, F.array(*map(F.lit, v))) for k, v in FUNCTION_WORDS.items()])))
@@ -99,7 +106,7 @@ def pair_defects(rows: DataFrame) -> DataFrame:
 
     cut = unfinished(base.select("field", "rec_id", "source", F.col("answer").alias("text"))).select("field", "rec_id", F.lit(True).alias("_cut"))
     flags = w.select(
-        "field", "rec_id", empty(F.col("answer")).alias("empty"), F.coalesce(is_copy, F.lit(False)).alias("copy"), F.coalesce(is_refusal, F.lit(False)).alias("refusal"), F.coalesce(is_foreign, F.lit(False)).alias("other_language")
+        "field", "rec_id", empty(F.col("answer"), F.col("_a")).alias("empty"), F.coalesce(is_copy, F.lit(False)).alias("copy"), F.coalesce(is_refusal, F.lit(False)).alias("refusal"), F.coalesce(is_foreign, F.lit(False)).alias("other_language")
     )
     flags = flags.join(cut, ["field", "rec_id"], "left").withColumn("truncated", F.coalesce("_cut", F.lit(False)))
     order = ["empty", "copy", "refusal", "other_language", "truncated"]
