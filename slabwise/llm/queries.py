@@ -129,6 +129,25 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack(checkpointed(sizes(table(spark, d, "documents"), "doc_id", "text")), "doc_id", "n_tokens")
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    from slabwise.llm.personal import scan
+
+    return scan(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "given_names"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    m = _personal(spark, d).select("doc_id", F.explode("mentions").alias("m"))
+    return m.select("doc_id", "m.kind", "m.mention").distinct()
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return _personal(spark, d).select("doc_id", F.size("mentions").alias("n_mentions"), "redacted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -141,6 +160,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_groups": p5_groups,
     "p6_ids": p6_ids,
     "p7_packing": p7_packing,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 ORACLES: dict[str, str] = {
