@@ -101,15 +101,26 @@ def bands(n_bands: int, rows: int, prime: int) -> Callable[[Texts], tuple[np.nda
     return keys
 
 
-def word_runs(long_run: int, short_run: int, short_words: int) -> Callable[[Texts], tuple[np.ndarray, np.ndarray]]:
-    """Keys: hashes of all runs of long_run words; texts of at most short_words words give those of
-    short_run words too."""
+def word_runs(long_run: int, short_run: int, short_words: int, winnow: int) -> Callable[[Texts], tuple[np.ndarray, np.ndarray]]:
+    """Keys: hashes of runs of long_run words; of each `winnow` runs next to each other the least hash
+    is kept, so texts with long_run + winnow - 1 words in common there share a key. Texts of
+    at most short_words words give all runs of short_run words too."""
 
     def keys(x: Texts) -> tuple[np.ndarray, np.ndarray]:
         able = x.n > 0
         h1, t1 = runs(x.words, x.counts, long_run)
+        keep = np.zeros(len(h1), bool)
+        last = len(h1) - winnow + 1
+        if last > 0:
+            low, at = h1[:last].copy(), np.arange(last)
+            for k in range(1, winnow):
+                less = h1[k : last + k] < low
+                low[less], at[less] = h1[k : last + k][less], np.flatnonzero(less) + k
+            keep[at[t1[:last] == t1[winnow - 1 :]]] = True
+        edge = np.bincount(t1, minlength=x.size) < winnow  # texts with fewer runs than that keep all
+        keep |= edge[t1]
         h2, t2 = runs(x.words, x.counts, short_run)
-        k1, k2 = able[t1], (able & (x.counts <= short_words))[t2]
+        k1, k2 = keep & able[t1], (able & (x.counts <= short_words))[t2]
         h = np.concatenate([h1[k1], mix64(h2[k2] + U(9))])
         t = np.concatenate([t1[k1], t2[k2]])
         return mix64(h + x.salt[t]), t
