@@ -142,7 +142,7 @@ def runs(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return mix64(h[whole]), text[: len(h)][whole]
 
 
-TEXTS = 8192  # texts in a vectorised step; text number and hash share 64 bits
+TEXTS = 2048  # texts in a vectorised step; text number and hash share 64 bits
 HASH_BITS = 50
 
 
