@@ -9,8 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from slabwise.plans.queries import ORACLES as _SQL
+from slabwise.plans.queries import QUERIES as _CORE
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(_CORE)
+ORACLES: dict[str, str] = dict(_SQL)
 
 
 def ship_package(spark: SparkSession) -> None:
