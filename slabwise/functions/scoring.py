@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from slabwise.functions import vocab as V
-from slabwise.functions.text import col, rouge_l, tokens
+from slabwise.functions.text import col, let, rouge_l, tokens
 
-I = "(?iU)"  # noqa: E741 - case-insensitive, Unicode word boundaries
+U = "(?U)"  # Unicode word boundaries; texts are lower-cased first, which is cheaper than ignoring case
 
 
 def clip(x: Column) -> Column:
@@ -29,11 +29,11 @@ def _count(text: Column, terms: list[str]) -> Column:
 
 
 def has_impression(text: Column | str) -> Column:
-    return col(text).rlike(I + V.IMPRESSION)
+    return F.lower(col(text)).rlike(V.IMPRESSION)
 
 
 def has_vascular(text: Column | str) -> Column:
-    return col(text).rlike(I + V.VASCULAR)
+    return F.lower(col(text)).rlike(V.VASCULAR)
 
 
 def word_count(text: Column | str) -> Column:
@@ -42,8 +42,8 @@ def word_count(text: Column | str) -> Column:
 
 def section_order(text: Column | str) -> Column:
     """Vascular section before impression; null unless both are there."""
-    t = col(text)
-    at = [F.regexp_instr(t, F.lit(I + p)) for p in (V.VASCULAR, V.IMPRESSION)]
+    t = F.lower(col(text))
+    at = [F.regexp_instr(t, F.lit(p)) for p in (V.VASCULAR, V.IMPRESSION)]
     return F.when((at[0] > 0) & (at[1] > 0), at[0] < at[1])
 
 
@@ -149,26 +149,26 @@ def rule_score(prediction: Column | str, reference: Column | str) -> Column:
 
 
 def vessels(text: Column | str) -> Column:
-    t = col(text)
-    return F.array_compact(F.array(*[F.when(t.rlike(I + p), F.lit(k)) for k, p in V.VESSEL_PATTERNS.items()]))
+    low = F.lower(col(text))
+    return F.array_compact(F.array(*[F.when(low.rlike(U + p), F.lit(k)) for k, p in V.VESSEL_PATTERNS.items()]))
 
 
 def side(text: Column | str) -> Column:
     """bilateral, left or right; null for none and for both left and right."""
-    t = col(text)
-    both, left, right = (t.rlike(rf"{I}\b{x}\b") for x in ("bilateral", "left", "right"))
+    low = F.lower(col(text))
+    both, left, right = (low.rlike(rf"{U}\b{x}\b") for x in ("bilateral", "left", "right"))
     return F.when(both, "bilateral").when(left & right, None).when(left, "left").when(right, "right")
 
 
 def claims(text: Column | str) -> Column:
     """struct(positive, negative, vessels, side, hedged, overconfident) that the report asserts."""
-    t = col(text)
-    told = F.filter(F.split(t, V.CLAUSE_END), lambda c: c.rlike(I + V.POSITIVE))
-    negated = F.exists(told, lambda c: c.rlike(I + V.NEGATION))
-    return F.struct(
-        F.exists(told, lambda c: ~c.rlike(I + V.NEGATION)).alias("positive"), (negated | t.rlike(I + V.NEGATIVE)).alias("negative"), vessels(t).alias("vessels"),
-        side(t).alias("side"), t.rlike(I + V.HEDGE).alias("hedged"), overconfident(t).alias("overconfident"),
-    )
+    low = F.lower(col(text))
+    told = F.filter(F.split(low, V.CLAUSE_END), lambda c: c.rlike(U + V.POSITIVE))
+    negated = F.transform(told, lambda c: c.rlike(U + V.NEGATION))
+    return let(negated, lambda n: F.struct(
+        F.exists(n, lambda x: ~x).alias("positive"), (F.exists(n, lambda x: x) | low.rlike(U + V.NEGATIVE)).alias("negative"), vessels(low).alias("vessels"),
+        side(low).alias("side"), low.rlike(U + V.HEDGE).alias("hedged"), overconfident(low).alias("overconfident"),
+    ))
 
 
 def _truth(v: Column) -> Column:

@@ -18,12 +18,22 @@ def tokens(text: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(col(text)), BLANK), "")
 
 
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value) with value computed once a row: inside lambdas an expression would be computed
+    again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(words: Column | str, n: int) -> Column:
     """All runs of n words, joined by blanks; an empty array for fewer words."""
-    w = col(words)
     if n == 1:
-        return w
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        return col(words)
+
+    def grams(w: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    return let(col(words), grams)
 
 
 def strip(text: Column | str) -> Column:

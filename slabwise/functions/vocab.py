@@ -20,16 +20,16 @@ VESSEL_PATTERNS = {
     "vertebral": r"\b(vertebral(?: artery)?|v4)\b",
 }
 POSITIVE = (
-    r"\bocclusion\b|\boccluded\b|\bocclusive\b|\bthrombus\b|\bthrombosis\b|\bembol|\bclot\b|\bcut[- ]?off\b|\bfilling defect\b|\bnon[- ]?opacif"
-    r"|\blarge[- ]vessel occlusion\b|\blvo\b|\bhigh[- ]grade stenosis\b|\bflow[- ]limiting stenosis\b"
+    r"\b(?:occlusion\b|occluded\b|occlusive\b|thrombus\b|thrombosis\b|embol|clot\b|cut[- ]?off\b|filling defect\b|non[- ]?opacif"
+    r"|large[- ]vessel occlusion\b|lvo\b|high[- ]grade stenosis\b|flow[- ]limiting stenosis\b)"
 )
 NEGATIVE = (
-    r"\bno (?:definite |evidence of )?(?:proximal |large[- ]vessel )?(?:occlusion|cutoff|filling defect|thrombus)\b|\bno large[- ]vessel occlusion\b|\bno lvo\b"
-    r"|\bpatent\b|\bunremarkable\b|\bno acute\b|\bno significant\b|\bwithin normal limits\b|\bnormal (?:vascular|opacification|caliber)\b"
+    r"\b(?:no (?:definite |evidence of )?(?:proximal |large[- ]vessel )?(?:occlusion|cutoff|filling defect|thrombus)\b|no large[- ]vessel occlusion\b|no lvo\b"
+    r"|patent\b|unremarkable\b|no acute\b|no significant\b|within normal limits\b|normal (?:vascular|opacification|caliber)\b)"
 )
 HEDGE = (
-    r"\blimited\b|\bpartial(?:ly)?\b|\bcorrelate\b|\bmay\b|\bmight\b|\bpossible\b|\bpossibly\b|\bsuggestive\b|\bcannot (?:exclude|rule out)\b"
-    r"|\bnot excluded\b|\bif clinically\b|\bequivocal\b"
+    r"\b(?:limited\b|partial(?:ly)?\b|correlate\b|may\b|might\b|possible\b|possibly\b|suggestive\b|cannot (?:exclude|rule out)\b"
+    r"|not excluded\b|if clinically\b|equivocal\b)"
 )
 NEGATION = r"\b(no|not|without|negative|absence|absent|patent|unremarkable|normal|none|rule out|ruled out|exclude[ds]?)\b"
 CLAUSE_END = r"[.;:,\n]"

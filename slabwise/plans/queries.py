@@ -47,7 +47,8 @@ def big(c: Column) -> Column:
 
 def _prefs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs with both answers: the chosen one is the reference, the rejected one the hypothesis."""
-    return _t(spark, d, "prefs_dpo_5x").filter(F.col("chosen").isNotNull() & F.col("rejected").isNotNull()).select("pref_id", "case_id", "prompt", "labels", "images", F.col("chosen").alias("r"), F.col("rejected").alias("h"))
+    p = _t(spark, d, "prefs_dpo_5x").filter(F.col("chosen").isNotNull() & F.col("rejected").isNotNull())
+    return IO.spread(p.select("pref_id", "case_id", "prompt", "labels", "images", F.col("chosen").alias("r"), F.col("rejected").alias("h")))
 
 
 PREFS = "(SELECT pref_id, case_id, prompt, labels, images, chosen AS r, rejected AS h FROM prefs_dpo_5x WHERE chosen IS NOT NULL AND rejected IS NOT NULL)"
@@ -57,7 +58,7 @@ PREFS = "(SELECT pref_id, case_id, prompt, labels, images, chosen AS r, rejected
 
 @query(f"SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct, greatest(0, len(w) - 1) AS n_bigrams FROM (SELECT doc_id, {Q.toks('text')} AS w FROM documents WHERE text IS NOT NULL)")
 def text_tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
-    w = _t(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", T.tokens("text").alias("w"))
+    w = IO.spread(_t(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", "text")).select("doc_id", T.tokens("text").alias("w"))
     return w.select("doc_id", big(F.size("w")).alias("n_tokens"), big(F.size(F.array_distinct("w"))).alias("n_distinct"), big(F.greatest(F.lit(0), F.size("w") - 1)).alias("n_bigrams"))
 
 
@@ -402,7 +403,7 @@ def sft_label_mask(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _masked(spark: SparkSession, d: str) -> DataFrame:
-    t = _t(spark, d, "sft_from_prefs_5x").filter("response IS NOT NULL")
+    t = IO.spread(_t(spark, d, "sft_from_prefs_5x").filter("response IS NOT NULL").select("sft_id", "prompt", "response"))
     t = t.select("sft_id", "response", F.transform(T.tokens("prompt"), F.length).alias("p"), F.transform(T.tokens("response"), F.length).alias("r"), F.array_repeat(F.lit(0), F.pmod("sft_id", F.lit(3)).cast("int")).alias("pad"), (F.pmod("sft_id", F.lit(2)) == 0).alias("lp"))
     body, ones = F.concat("p", "r"), F.transform(F.concat("p", "r"), lambda x: F.lit(1))
     t = t.withColumn("ids", F.when(F.col("lp"), F.concat("pad", body)).otherwise(F.concat(body, "pad"))).withColumn("mask", F.when(F.col("lp"), F.concat("pad", ones)).otherwise(F.concat(ones, "pad")))
@@ -459,7 +460,7 @@ _EVAL = f"""WITH p AS (SELECT case_id, arg_max(text, cand_id) AS prediction FROM
 
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     """Every record against the last candidate of its case; none counts as an empty prediction."""
-    test = _t(spark, d, "ctamip_dataset").select("rec_id", "case_id", "response")
+    test = IO.spread(_t(spark, d, "ctamip_dataset").select("rec_id", "case_id", "response"))
     return E.flat_metrics(E.join_predictions(test, "case_id", _candidates(spark, d), "text", "cand_id"), "rec_id", "prediction", "response")
 
 

@@ -17,6 +17,13 @@ SCHEMAS = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over all cores where its files are too few for that; a large table stays as it is,
+    without a shuffle. For row-wise work that costs far more than moving the row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_jsonl(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A JSONL file by its declared schema; blank lines are skipped, a malformed line raises.
     Missing labels become '{}'. Only the columns that are used are parsed."""
