@@ -48,7 +48,7 @@ def tails(rows: DataFrame) -> DataFrame:
     number = F.regexp_extract(F.expr("right(_body, 60)"), r"([\p{L}±]++)\s[0-9]++\.$", 1)
     return d.select(
         "field", "rec_id", "source", F.length("text").cast("bigint").alias("chars"), F.octet_length("text").cast("bigint").alias("bytes"), closed.alias("closed"),
-        F.when(~closed, F.lower(F.trim(F.regexp_replace(F.regexp_replace(segment, r"\d", "0"), r"\s+", " ")))).alias("tail"),
+        F.when(~closed, F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(segment, r"\d", "0"), r"\s+", " "), r" (?=[,.;:!?)])", "")))).alias("tail"),
         F.when(~closed, F.xxhash64(F.expr("left(_all, greatest(length(_all) - 40, 0))"))).alias("head"),
         F.when(~closed, F.size(F.split("_all", r"\s+"))).alias("words"),
         F.when(closed, number).otherwise(F.lit("")).alias("decimal"),
@@ -65,14 +65,15 @@ def spikes(t: DataFrame) -> DataFrame:
     return h.filter((F.col("n_open") >= SPIKE_LEAST) & (F.col("n_open") > SPIKE_FACTOR * F.greatest("near", F.lit(0.5))))
 
 
-def remarks(t: DataFrame) -> DataFrame:
+def remarks(loose: DataFrame, total: DataFrame) -> DataFrame:
     """(tail) of every closing remark: at least two words, no heading, behind enough different
-    texts. Copies of one text count once, so a text that was copied often is no remark."""
-    named = t.filter(~F.col("closed") & F.col("tail").rlike(r"\S\s+\S") & ~F.col("tail").rlike(r":\W*$"))
+    texts. loose: open texts of no spike length, at which the same words recur by cutting alone.
+    Copies of one text count once, so a text that was copied often is no remark."""
+    named = loose.filter(F.col("tail").rlike(r"\S\s+\S") & ~F.col("tail").rlike(r":\W*$"))
     heads = named.groupBy("tail", "head").agg(F.lit(1).alias("_one"))
-    total = t.agg(F.greatest(F.count("*") * REMARK_SHARE, F.lit(float(REMARK_LEAST))).alias("_least"))
+    least = total.agg(F.greatest(F.count("*") * REMARK_SHARE, F.lit(float(REMARK_LEAST))).alias("_least"))
     counts = heads.groupBy("tail").agg(F.count("*").alias("_n"))
-    return counts.join(F.broadcast(total), F.col("_n") >= F.col("_least")).select("tail")
+    return counts.join(F.broadcast(least), F.col("_n") >= F.col("_least")).select("tail")
 
 
 def decimal_words(rows: DataFrame) -> DataFrame:
@@ -92,15 +93,15 @@ def unfinished(rows: DataFrame) -> DataFrame:
     rows = rows.select("field", "rec_id", "source", "text")
     t = checkpointed(tails(rows))  # narrow: no texts
     limits = spikes(t).select("field", "source", "unit", "at")
-    suspects = t.filter(~F.col("closed") & (F.col("words") >= WHOLE_WORDS) & (F.col("chars") > 0))
-    suspects = suspects.join(remarks(t), "tail", "left_anti")
-    by_chars = limits.filter("unit = 'chars'").select("field", F.col("source").alias("_s"), F.col("at").alias("chars"), F.lit(True).alias("_c"))
-    by_bytes = limits.filter("unit = 'bytes'").select("field", F.col("source").alias("_s2"), F.col("at").alias("bytes"), F.lit(True).alias("_b"))
-    s, c, b = suspects.alias("s"), by_chars.alias("c"), by_bytes.alias("b")
-    s = s.join(c, (F.col("s.field") == F.col("c.field")) & F.col("s.source").eqNullSafe(F.col("c._s")) & (F.col("s.chars") == F.col("c.chars")), "left")
-    s = s.join(b, (F.col("s.field") == F.col("b.field")) & F.col("s.source").eqNullSafe(F.col("b._s2")) & (F.col("s.bytes") == F.col("b.bytes")), "left")
+    by_chars = limits.filter("unit = 'chars'").select(F.col("field").alias("_f"), F.col("source").alias("_s"), F.col("at").alias("_at"), F.lit(True).alias("_c"))
+    by_bytes = limits.filter("unit = 'bytes'").select(F.col("field").alias("_f2"), F.col("source").alias("_s2"), F.col("at").alias("_at2"), F.lit(True).alias("_b"))
+    s = t.filter(~F.col("closed"))
+    s = s.join(by_chars, (F.col("field") == F.col("_f")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("chars") == F.col("_at")), "left")
+    s = s.join(by_bytes, (F.col("field") == F.col("_f2")) & F.col("source").eqNullSafe(F.col("_s2")) & (F.col("bytes") == F.col("_at2")), "left")
     at_limit = F.coalesce(F.col("_c"), F.lit(False)) | F.coalesce(F.col("_b"), F.lit(False))
-    out = s.select("s.field", "rec_id", "s.source", "s.chars", "s.bytes", at_limit.alias("at_limit"), F.when(at_limit, "limit").otherwise("open").alias("reason"))
+    loose = s.select("field", "rec_id", "source", "chars", "bytes", "tail", "head", "words", at_limit.alias("at_limit"))
+    suspects = loose.filter((F.col("words") >= WHOLE_WORDS) & (F.col("chars") > 0)).join(remarks(loose.filter(~F.col("at_limit")), t), "tail", "left_anti")
+    out = suspects.select("field", "rec_id", "source", "chars", "bytes", "at_limit", F.when(F.col("at_limit"), "limit").otherwise("open").alias("reason"))
     inner = t.filter(F.col("decimal") != "").join(decimal_words(rows), "decimal").filter(F.col("inside") > 20 * F.col("final"))
     inner = inner.select("field", "rec_id", "source", "chars", "bytes", F.lit(False).alias("at_limit"), F.lit("decimal").alias("reason"))
     return out.unionByName(inner).dropDuplicates(["field", "rec_id"])
