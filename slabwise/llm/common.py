@@ -36,6 +36,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """The frame in a few partitions a core, for work that costs far more than moving the rows; one
+    that has as many already, as any large table does, is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 3 * cores else df
+
+
 def partitions(spark: SparkSession, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slabwise.llm.common import balanced
 from slabwise.llm.tagger import KINDS, Tagger, codes, spans, tag_texts
 
 SAMPLE = 2500  # documents that the tagger learns from, by the hash of their key
@@ -317,7 +318,7 @@ def scan(docs: DataFrame, key: str, text: str, given_names: DataFrame | None = N
     Whole texts are read, however long; repeated rows are repeated; other columns are ignored."""
     model = model or train(docs, key, text, given_names) or Tagger()
     shared = docs.sparkSession.sparkContext.broadcast((model, known_names(given_names)))
-    rows = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").cast("string").alias("_text"))
+    rows = balanced(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").cast("string").alias("_text")))
     kind = rows.schema[key].dataType.simpleString()
     item = pa.struct([("kind", pa.string()), ("mention", pa.string()), ("start", pa.int32()), ("length", pa.int32())])
 
