@@ -45,3 +45,17 @@ def running_mean(df: DataFrame, key: str, order: list[str], value: str, weight:
     n = F.col(weight) if weight else F.lit(1)
     out = df.withColumn("sum", F.sum(F.col(value) * n).over(w)).withColumn("count", F.sum(n).over(w))
     return out.withColumn("avg", F.col("sum") / F.col("count"))
+
+
+def report(aggregated: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """One row with the whole report as JSON: {config, aggregated_metrics}. aggregated has a row per
+    metric, so the collected list is bounded by their number."""
+    stats = F.struct("mean", "std", "min", "max", "median")
+    m = aggregated.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", stats.alias("s"))))).alias("aggregated_metrics"))
+    pairs = [F.lit(x) for kv in sorted(settings.items()) for x in kv]
+    return m.select(F.to_json(F.struct(F.create_map(*pairs).alias("config"), "aggregated_metrics"), {"ignoreNullFields": "false"}).alias("report"))
+
+
+def summary(aggregated: DataFrame) -> DataFrame:
+    """(line): 'metric: mean, std' to four places, for printing."""
+    return aggregated.select(F.format_string("%s: %.4f, %.4f", "metric", "mean", "std").alias("line"))

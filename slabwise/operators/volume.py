@@ -182,3 +182,58 @@ def choose_source(files: DataFrame) -> DataFrame:
     )
     chosen = F.coalesce(F.col("named.f"), F.when(F.col("nb") == 1, F.col("b")), F.when(F.col("n") == 1, F.col("o")))
     return g.select("folder", patient.alias("patient"), chosen.alias("file"))
+
+
+def reorient(voxels: DataFrame, order: str = "yxz", flip: str = "") -> DataFrame:
+    """Voxels with their axes renamed and flipped: order names, for y, x and z in turn, the axis they
+    come from; the new axes in flip run backwards within each patient's volume."""
+    if sorted(order) != ["x", "y", "z"] or set(flip) - set("xyz"):
+        raise ValueError("order must name each axis once; flip may name axes")
+    moved = voxels.select("patient", *[F.col(old).alias(new) for new, old in zip("yxz", order)], "hu")
+    if not flip:
+        return moved
+    top = moved.groupBy("patient").agg(*[F.max(a).alias(f"_{a}") for a in "yxz"])
+    return moved.join(top, "patient").select("patient", *[(F.col(f"_{a}") - F.col(a) if a in flip else F.col(a)).alias(a) for a in "yxz"], "hu")
+
+
+def cut(voxels: DataFrame, box: DataFrame) -> DataFrame:
+    """The voxels inside each patient's bounds (any of y0, y1, x0, x1, z0, z1), counted from there on."""
+    axes = [a for a in "yxz" if f"{a}0" in box.columns]
+    j = voxels.join(box, "patient")
+    for a in axes:
+        j = j.filter(F.col(a).between(F.col(f"{a}0"), F.col(f"{a}1")))
+    return j.select("patient", *[(F.col(a) - F.col(f"{a}0") if a in axes else F.col(a)).alias(a) for a in "yxz"], "hu")
+
+
+def pipeline(voxels: DataFrame, k: int, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), threshold: float = THRESHOLD, area_frac: float = 0.0, mode: str = "low_clip") -> DataFrame:
+    """Projections of the fixed protocol: crop to the foreground, trim slices, filter densities, project.
+    Crop and trim look at the unfiltered densities."""
+    cropped = cut(voxels, crop_box(voxels, spacing, threshold))
+    trimmed = cut(cropped, trim_range(cropped, threshold, area_frac))
+    return project(trimmed.withColumn("hu", hu_filter("hu", mode)), k)
+
+
+def sweep(patients: DataFrame, ks: list[int], done: DataFrame | None = None, only: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """(patient, k) still to be made: every patient with every k, without those in done (patient, k).
+    only: names, each possibly a comma list; limit: the first patients by name."""
+    p = patients.select("patient").distinct()
+    if only:
+        names = [n.strip() for x in only for n in x.split(",") if n.strip()]
+        p = p.filter(F.col("patient").isin(names))
+    if limit is not None:
+        p = p.orderBy("patient").limit(limit)
+    grid = p.select("patient", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    return grid if done is None else grid.join(done.select("patient", "k"), ["patient", "k"], "left_anti")
+
+
+def command(script: str, source: Column | str, target: Column | str, k: Column | str, options: dict[str, object] | None = None) -> Column:
+    """The generator call of an image set, for the record: options that are false, 0 or None are left
+    out, true ones stand as flags."""
+    src, out, kk = (F.col(x) if isinstance(x, str) else x for x in (source, target, k))
+    parts = [F.lit(script), F.lit("--nrrd_path"), src, F.lit("--out_root"), out, F.lit("--slabs_per_axis"), kk.cast("string")]
+    for name, value in (options or {}).items():
+        if value is True:
+            parts.append(F.lit(f"--{name}"))
+        elif value not in (None, False, 0, 0.0):
+            parts += [F.lit(f"--{name}"), F.lit(str(value))]
+    return F.concat_ws(" ", *parts)

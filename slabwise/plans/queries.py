@@ -592,3 +592,29 @@ def source_file_choice(spark: SparkSession, d: str) -> DataFrame:
 def protocol_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = [(k, g, Vol.config_name(k, g), Vol.image_budget(k, g)) for k in range(5) for g in (True, False)]
     return spark.createDataFrame(rows, "k int, include_global boolean, name string, image_budget int")
+
+
+@query("SELECT p AS patient, k::INT AS k, 'mip --nrrd_path /in/' || p || ' --out_root /out/slabs' || k || ' --slabs_per_axis ' || k || ' --norm window --include_global' AS command FROM (SELECT DISTINCT 'p' || (vec_id % 5) AS p FROM embeddings), (SELECT unnest([2, 4]) AS k) WHERE NOT (p = 'p1' AND k = 2) AND p IN ('p0', 'p1', 'p3')")
+def protocol_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Image sets still to be made, with the call that makes them."""
+    patients = _t(spark, d, "embeddings").select(F.concat(F.lit("p"), F.pmod("vec_id", F.lit(5)).cast("string")).alias("patient"))
+    todo = Vol.sweep(patients, [2, 4], spark.createDataFrame([("p1", 2)], "patient string, k int"), ["p0, p1", "p3"])
+    call = Vol.command("mip", F.concat(F.lit("/in/"), "patient"), F.concat(F.lit("/out/slabs"), F.col("k").cast("string")), "k", {"norm": "window", "trim_area_frac": 0.0, "include_global": True, "radiological_flip": False})
+    return todo.select("patient", "k", call.alias("command"))
+
+
+@query(
+    f"""WITH v AS {VOXELS}, b AS (SELECT patient, {_box('y', 8.0)}, {_box('x', 8.0)}, {_box('z', 0.5)} FROM v GROUP BY patient),
+    c AS (SELECT patient, y - y0 AS y, x - x0 AS x, z - z0 AS z, CASE WHEN hu < 30 THEN -1000 WHEN hu > 420 THEN 420 ELSE hu END AS hu FROM v JOIN b USING (patient) WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 AND z BETWEEN z0 AND z1),
+    s AS (SELECT patient, max(z) + 1 AS n FROM c GROUP BY patient)
+    SELECT patient, (z >= round_even(n / 2.0::DOUBLE, 0))::INT AS slab_index, y AS "row", x AS col, max(hu) AS hu FROM c JOIN s USING (patient) GROUP BY ALL"""
+)
+def volume_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Crop, trim, filter and project; the axial slabs."""
+    return Vol.pipeline(_voxels(spark, d), 2, (8.0, 8.0, 0.5), 150.0).filter("view = 'axial'").drop("view")
+
+
+@query("SELECT line FROM (" + ORACLES["evaluate_aggregate"].replace("SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, round(median(v), 6) AS median", "SELECT metric || ': ' || printf('%.3f', avg(v)) AS line") + ")")
+def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
+    a = E.aggregate(_evaluated(spark, d), E.METRICS)
+    return a.select(F.format_string("%s: %.3f", "metric", "mean").alias("line"))

@@ -111,3 +111,24 @@ def test_volume(spark):
 def test_percentiles_without_foreground(spark):
     v = spark.createDataFrame([("p", 0, 0, 0, -500.0), ("q", 0, 0, 0, 5.0)], "patient string, y int, x int, z int, hu double")
     assert {tuple(r) for r in V.percentiles(v).collect()} == {("p", 0.0, 1.0), ("q", 5.0, 6.0)}
+
+
+def test_reorient_and_sweep(spark):
+    v = spark.createDataFrame([("p", 0, 1, 2, 5.0), ("p", 1, 0, 0, 7.0)], "patient string, y int, x int, z int, hu double")
+    assert {tuple(r)[1:] for r in V.reorient(v, "zyx", "y").collect()} == {(0, 0, 1, 5.0), (2, 1, 0, 7.0)}
+    with pytest.raises(ValueError):
+        V.reorient(v, "yyx")
+    p = spark.createDataFrame([("b",), ("a",), ("a",), ("c",)], "patient string")
+    done = spark.createDataFrame([("a", 2)], "patient string, k int")
+    assert {tuple(r) for r in V.sweep(p, [1, 2], done, ["a,c", "b"], 2).collect()} == {("a", 1), ("b", 1), ("b", 2)}
+    assert V.pipeline(v.limit(0), 2).count() == 0
+    assert spark.range(1).select(V.command("s", F.lit("i"), F.lit("o"), F.lit(3), {"a": 1, "b": 0, "c": True})).first()[0] == "s --nrrd_path i --out_root o --slabs_per_axis 3 --a 1 --c"
+
+
+def test_report(spark):
+    import json
+
+    a = E.aggregate(spark.createDataFrame([(1.0, 2.0)], "a double, b double"), ["a", "b"])
+    r = json.loads(E.report(a, {"model": "m"}).first()["report"])
+    assert r["config"] == {"model": "m"} and r["aggregated_metrics"]["a"]["mean"] == 1.0
+    assert sorted(x["line"] for x in E.summary(a).collect()) == ["a: 1.0000, 0.0000", "b: 2.0000, 0.0000"]
