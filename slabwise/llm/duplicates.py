@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slabwise.llm.similar import bands, groups, similar_classes
 
-BANDS, ROWS, SLOTS = 56, 5, 281  # SLOTS is prime and at least BANDS x ROWS
+BANDS, ROWS, SLOTS = 70, 5, 353  # SLOTS is prime and at least BANDS x ROWS
 
 
 def near_duplicates(rows: DataFrame, least: float = 0.8, n_bands: int = BANDS, band_rows: int = ROWS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
