@@ -7,6 +7,7 @@ checked: it must hold a shape of its kind, whose exact limits become the mention
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ GIVEN = 10_000  # given names read at most
 WINDOWS = 6000  # training windows at most
 SPAN = 112  # characters of a training window
 EPOCHS = (5, 6)
-LEAN = 6.0  # added to the score of every proposal; what follows is strict
+LEAN = 9.0  # added to the score of every proposal; what follows is strict
 SURE = 3.0  # mean margin that a name needs outside telling contexts
 
 EMAIL, PHONE, ID, ADDRESS, NAME = range(5)
@@ -37,7 +38,7 @@ _DOT = r"(?:\.| ?[\[(] ?dot ?[\])] ?| dot )"
 _LABEL = r"[\p{L}\d](?:[\p{L}\d-]*[\p{L}\d])?"
 _SURFACE = {
     EMAIL: rf"(?i)(?<![\p{{L}}\d._+-])(?:{_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}\p{{L}}{{2,}}|{_LOCAL} at {_LABEL}(?:{_DOT}{_LABEL})* dot \p{{L}}{{2,}})(?![\p{{L}}\d])",
-    PHONE: r"(?<![\p{L}\d/.+-])(?:\+\d{1,3}|00\d{1,3}|\(\d{2,5}\)|\d)(?:[ ./-]?\(\d{1,4}\)|[ ./-]?\d)*\d(?:,? (?:ext\.?|extension|x|Durchwahl|DW|poste|int\.?|anexo) ?\d{1,5})?(?![\p{L}\d])",
+    PHONE: r"(?<![\p{L}\d/.+-])(?<!\d,)(?:\+\d{1,3}|00\d{1,3}|\(\d{2,5}\)|\d)(?:[ ./-]?\(\d{1,4}\)|[ ./-]?\d)*\d(?:,? (?:ext\.?|extension|x|Durchwahl|DW|poste|int\.?|anexo) ?\d{1,5})?(?![\p{L}\d])",
     ID: r"(?<![\p{L}\d/.+-])(?:\p{Lu}{1,3}-?\d{5,12}|\d{3}-\d{2}-\d{4}|\d{2}-\d{4}-\d|\d{3} \d{3} \d{4}|\d{4}-\d{4}|\d{8}-\p{Lu}|\d{8,13})(?![\p{L}\d]|[-/.]\d)",
     ADDRESS: r"(?<![\p{L}\d])(?:"
     r"(?:(?:Flat|Unit|Apt\.?|Apartment|Suite|Room) \d+\p{Lu}?, )?\d+ ?\p{L}? (?:\p{Lu}[\p{L}'’-]+ ){1,3}(?:Rd|Road|St|Street|Ave|Avenue|Lane|Ln|Way|Drive|Dr|Close|Crescent|Cres|Terrace|Court|Place|Square|Gardens|Hill|Row|Walk)\b"
@@ -73,30 +74,62 @@ _GOODS = regex.compile(r"(?i)\b(?:lot|batch|serial|accession|order|item|protocol
 
 
 class Given:
-    """Known given names, and what looks like one: begins and ends as known ones do."""
+    """Known given names and what looks like one (begins and ends as known ones do); what ends like
+    a family name, learnt from titled names of the sample; and capitalised words of the sample
+    that were no part of a name there."""
 
     def __init__(self, names: frozenset[str] = frozenset()):
         self.names = names
-        self.heads = frozenset(n[:3] for n in names if len(n) > 5)
-        self.tails = frozenset(n[-3:] for n in names if len(n) > 5)
+        self.heads = frozenset(n[:4] for n in names if len(n) > 5)
+        self.tails = frozenset(n[-2:] for n in names if len(n) > 5)
+        self.family: frozenset[str] = frozenset()
+        self.common: frozenset[str] = frozenset()
 
     def __contains__(self, word: str) -> bool:
         w = word.lower()
-        return w in self.names or (len(w) > 5 and w[:3] in self.heads and w[-3:] in self.tails)
+        return w in self.names or (len(w) > 5 and w[:4] in self.heads and w[-2:] in self.tails)
+
+    def is_family(self, word: str) -> bool:
+        return len(word) > 5 and word.lower()[-4:] in self.family
+
+    def learn(self, texts: list[str]) -> None:
+        ends = Counter(m.group(1).lower()[-4:] for t in texts for m in _TITLED_WORD.finditer(t) if len(m.group(1)) > 5 and m.group(1) not in self)
+        self.family = frozenset(w for w, n in ends.items() if n >= 3)
+        inside, seen = Counter(), Counter()
+        for t in texts:
+            named = _tags(t, teach(t, self)) == 2 + 2 * NAME
+            for m in _CAPITAL.finditer(t):
+                seen[m.group()] += 1
+                inside[m.group()] += bool(named[m.end() - 1])
+        self.common = frozenset(w for w, n in seen.items() if n >= 3 and inside[w] < 0.2 * n)
+
+
+_TITLED_WORD = regex.compile(rf"(?<!\p{{L}})(?:{TITLES})\.? (\p{{Lu}}\p{{L}}+)(?! \p{{Lu}})")
+_CAPITAL = regex.compile(r"(?<![\p{L}\d@._-])\p{Lu}\p{L}{2,}(?![\p{L}@])")
+_FRENCH, _ENGLISH = regex.compile(r"(?i)(?<!\p{L})(?:le|la|les|du|des|au|aux|sur|et|une|par|vers|pour)(?!\p{L})"), regex.compile(r"(?i)(?<!\p{L})(?:the|of|and|is|at|in|with|was|to)(?!\p{L})")
+
+
+def _is_french(text: str) -> bool:
+    return len(_FRENCH.findall(text)) > len(_ENGLISH.findall(text))
 
 
 def _names(text: str, given: Given) -> list[tuple[int, int]]:
-    """Names in telling places. By given names 'Name X. Name' and 'Name, Name' are read; where none
-    stands, the name ends before the comma or behind the initial."""
+    """Names in telling places. Whether 'Word X. Word' and 'Word, Word' are one name is read off the
+    given and family names; in doubt the name ends behind the initial or before the comma."""
     out = []
     for m in _NAME_AT.finditer(text):
         s, e = m.span("n") if m.group("n") else m.span("m")
         head, comma, tail = text[s:e].rpartition(", ")
-        if comma and tail not in given:
-            e = s + len(head)
-        inner = regex.search(r"(?<=\p{L}) \p{Lu}\. ", text[s:e])
-        if inner and text[s : s + inner.start()].split()[0] not in given:
-            e = s + inner.start() + 2
+        if comma:
+            like = tail.isupper() == head.isupper() and len(tail) > 3 and not regex.match(r" ?:| \p{Lu}{0,3}-?\d", text[e : e + 6])
+            plain = not any(w in given or len(w) < 3 for w in regex.findall(r"\p{Lu}\p{L}*", head))  # a family name alone stands before the comma
+            if not (tail in given or like and plain and given.is_family(head.split("-")[-1].split()[-1]) and not given.is_family(tail)):
+                e = s + len(head)
+        inner = regex.search(r"(?<=\p{L}) \p{Lu}\. (?:[\p{Ll} ]+ )?(\p{Lu}[\p{L}]*)", text[s:e])
+        if inner:
+            first = text[s : s + inner.start()].split()[-1]
+            if not (first in given or given.is_family(inner.group(1)) and not given.is_family(first)):
+                e = s + inner.start() + 2
         out.append((s, e))
     return out
 
@@ -155,6 +188,8 @@ def clean_name(text: str, s: int, e: int) -> tuple[int, int] | None:
         if not m:
             break
         s = m.end()
+    if text[s:e].startswith("M. ") and _is_french(text):
+        s += 3
     while s < e and not text[s].isalpha():
         s += 1
     m = regex.search(r"['’]s$", text[s:e])
@@ -199,10 +234,11 @@ def _stacked(w: list[tuple[np.ndarray, np.ndarray]], rng: np.random.Generator, m
     return np.stack([w[i][0] for i in pick]), np.stack([w[i][1] for i in pick])
 
 
-def learn(texts: list[str], given: Given = Given(), width: int = SPAN, seed: int = 5) -> Tagger | None:
+def learn(texts: list[str], given: Given, width: int = SPAN, seed: int = 5) -> Tagger | None:
     """Two lessons: windows around every labelled span and elsewhere; then, once more, with the
     places where the first model differs from the labels."""
     rng = np.random.default_rng(seed)
+    given.learn([t for t in texts if t])
     coded = [(t, codes(t)) for t in texts if t]
     labels = [_tags(t, teach(t, given)) for t, _ in coded]
     w: list[tuple[np.ndarray, np.ndarray]] = []
@@ -224,6 +260,7 @@ def learn(texts: list[str], given: Given = Given(), width: int = SPAN, seed: int
         more = _stacked(hard, rng, WINDOWS // 2)
         ids, tags = np.concatenate([ids, more[0]]), np.concatenate([tags, more[1]])
     model.fit(ids, tags, epochs=EPOCHS[1], rate=0.014)
+    model.given = given
     return model
 
 
@@ -278,7 +315,9 @@ def mentions_of(text: str, tags: np.ndarray, margin: np.ndarray, given: Given =
     for kind, s, e in open_:
         if kind == NAME:
             span = clean_name(text, s, e)
-            if span and margin[s:e].mean() > SURE:
+            if not span or margin[s:e].mean() <= SURE or any(w in given.common for w in regex.findall(r"\p{Lu}\p{L}{2,}", text[slice(*span)])):
+                continue
+            if not any(k == ADDRESS and 0 <= span[0] - b <= 2 for k, _, b in out):  # a place behind its street
                 put(NAME, *span)
             continue
         for m in SHAPES[kind].finditer(text, max(0, s - 40), min(n, e + 40)):
@@ -317,7 +356,7 @@ def scan(docs: DataFrame, key: str, text: str, given_names: DataFrame | None = N
     for them. A null text gives an empty list and null; an empty one an empty list and ''.
     Whole texts are read, however long; repeated rows are repeated; other columns are ignored."""
     model = model or train(docs, key, text, given_names) or Tagger()
-    shared = docs.sparkSession.sparkContext.broadcast((model, known_names(given_names)))
+    shared = docs.sparkSession.sparkContext.broadcast((model, getattr(model, 'given', None) or known_names(given_names)))
     rows = balanced(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").cast("string").alias("_text")))
     kind = rows.schema[key].dataType.simpleString()
     item = pa.struct([("kind", pa.string()), ("mention", pa.string()), ("start", pa.int32()), ("length", pa.int32())])

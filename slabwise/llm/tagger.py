@@ -90,22 +90,22 @@ class Tagger:
         """The best tag sequence of each row with `lean` added for every mention that begins, and by how
         much each tag's own score exceeds that of O."""
         e = self.scores(ids)
-        e[:, :, 1::2] += lean
+        v = np.ascontiguousarray(e.transpose(0, 2, 1))  # time, tag, row: vector operations run along rows
+        v[:, 1::2] += lean
         a = self._transitions()
-        t, n, k = e.shape
-        back = np.empty((t, n, k), np.uint8)
-        v = e[0]
-        aa = np.ascontiguousarray(a.T)[None]
+        t, k, n = v.shape
+        free, inside = np.r_[0, 1:k:2], np.arange(2, k, 2)
+        into = np.ascontiguousarray(a[:, free].T)[:, :, None]
+        begun, kept = a[inside - 1, inside][:, None], a[inside, inside][:, None]
         for s in range(1, t):
-            m = v[:, None, :] + aa
-            back[s] = m.argmax(2)
-            v = m.max(2) + e[s]
+            p = v[s - 1]
+            v[s, free] += (p[None] + into).max(1)
+            v[s, inside] += np.maximum(p[inside - 1] + begun, p[inside] + kept)
         tags = np.empty((t, n), np.uint8)
-        tags[-1] = v.argmax(1)
-        rows = np.arange(n)
-        for s in range(t - 1, 0, -1):
-            tags[s - 1] = back[s][rows, tags[s]]
-        margin = np.take_along_axis(e, tags[:, :, None].astype(np.int64), 2)[:, :, 0] - e[:, :, 0] - lean * (tags % 2)
+        tags[-1] = v[-1].argmax(0)
+        for s in range(t - 1, 0, -1):  # the step into the chosen tag only is looked up again
+            tags[s - 1] = (v[s - 1] + a[:, tags[s]]).argmax(0)
+        margin = np.take_along_axis(e, tags[:, :, None].astype(np.int64), 2)[:, :, 0] - e[:, :, 0]
         return tags.T, margin.T
 
     def _transitions(self) -> np.ndarray:
