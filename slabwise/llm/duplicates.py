@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slabwise.llm.similar import bands, groups, similar_classes
+from slabwise.llm.similar import HOT, bands, groups, similar_classes
 
 BANDS, ROWS, SLOTS = 70, 5, 353  # SLOTS is prime and at least BANDS x ROWS
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.8, n_bands: int = BANDS, band_rows: int = ROWS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(rows: DataFrame, least: float = 0.8, n_bands: int = BANDS, band_rows: int = ROWS, slots: int = SLOTS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the texts of rows (field int, id bigint, text); see similar_classes.
     Candidates come from banded SuperMinHash signatures; a pair of likeness s is met with
     probability 1 - (1 - s^ROWS)^BANDS, and every candidate is compared exactly."""
     if n_bands * band_rows > slots:
         raise ValueError("bands x rows must not exceed the slots")
     rows = rows.select("field", "id", F.lit(0).alias("side"), "text")
-    members, links = similar_classes(rows, bands(n_bands, band_rows, slots), least)
+    members, links = similar_classes(rows, bands(n_bands, band_rows, slots), least, hot=hot)
     return members.select("field", "id", "class"), links
 
 

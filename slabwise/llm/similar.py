@@ -21,6 +21,7 @@ from slabwise.llm.common import MIN_WORDS, TEXTS, mix64, partitions, runs, uniqu
 U = np.uint64
 BINS = 24  # of a sketch, a byte each
 SCREEN = 0.4  # times the threshold: share of equal bins that a candidate must reach
+HOT = 512  # texts that share a key: beyond that they are compared in blocks, never paired
 BITMAP_BITS = 1 << 23  # of the filter over the texts that are compared exactly: 1 MB
 
 
@@ -43,7 +44,7 @@ class Texts:
             self.lo[self.which] = np.add.reduceat(x, self.first)
             self.hi[self.which] = np.add.reduceat(mix64(x), self.first)
         self.lo, self.hi = mix64(self.lo + self.salt), mix64(self.hi ^ self.salt)
-        self.item = self.lo >> U(32)
+        self.item = self.lo >> U(33)  # 31 bits
 
     def sketches(self) -> np.ndarray:
         """BINS bytes per text: one-permutation MinHash, 0 for an empty bin."""
@@ -145,6 +146,11 @@ def _scan(rows: DataFrame, keys: Callable, parts: int, feature_parts: int, sided
                 if not len(x.which):
                     continue
                 h, t = keys(x)
+                twin = x.lo ^ (side.astype(U) * U(0x9E3779B97F4A7C15))
+                first = np.zeros(x.size, bool)
+                first[x.which[np.unique(twin[x.which], return_index=True)[1]]] = True
+                if not first[t].all():  # of copies in one step, one speaks for all
+                    h, t = h[first[t]], t[first[t]]
                 part = ((h >> U(32)) * U(parts) >> U(32)).astype(np.uint16)
                 order = np.argsort(part, kind="stable")
                 edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -168,17 +174,20 @@ def _joined(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
 
-def _same_key(key: np.ndarray, item: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Unique pairs of different items with the same key; side: 0 meets 1 only."""
-    n = len(key)
-    if n < 1 << 31:
-        both = (key.astype(U) << U(32)) | np.arange(n, dtype=U)
-        both.sort()
-        order = (both & U(0xFFFFFFFF)).astype(np.int64)
-    else:
-        order = np.argsort(key, kind="stable")
-    key, item = key[order], item[order].astype(np.int64)
-    side = side[order] if side is not None else None
+def _same_key(key: np.ndarray, item: np.ndarray, side: np.ndarray | None, hot: int) -> tuple[np.ndarray, ...]:
+    """Unique pairs (a, b) of different items with the same key, and the rows (key, item, side) of keys
+    that more than `hot` items share, which are left unpaired; side: 0 meets 1 only. Copies of
+    a text are one item, so they are dropped first, however many there are."""
+    both = (key.astype(U) << U(32)) | (item.astype(U) << U(1))
+    if side is not None:
+        both |= side.astype(U)
+    both = np.unique(both)
+    starts = np.flatnonzero(np.r_[True, both[1:] >> U(32) != both[:-1] >> U(32)]) if len(both) else np.empty(0, np.int64)
+    crowded = np.repeat(np.diff(np.r_[starts, len(both)]) > hot, np.diff(np.r_[starts, len(both)]))
+    rest, both = both[crowded], both[~crowded]
+    many = ((rest >> U(32)).astype(np.int64), ((rest & U(0xFFFFFFFF)) >> U(1)).astype(np.int64), (rest & U(1)).astype(np.int32))
+    n = len(both)
+    key, item, side = both >> U(32), (both & U(0xFFFFFFFF)) >> U(1), both & U(1) if side is not None else None
     found: list[np.ndarray] = []
     at, d = np.arange(n), 0
     while True:
@@ -187,27 +196,28 @@ def _same_key(key: np.ndarray, item: np.ndarray, side: np.ndarray | None) -> tup
         at = at[key[at] == key[at + d]]
         if not len(at):
             break
-        hit = item[at] != item[at + d]
+        hit = at[item[at] != item[at + d]]
         if side is not None:
-            hit &= side[at] != side[at + d]
-        a, b = item[at[hit]], item[at[hit] + d]
-        found.append((np.minimum(a, b).astype(U) << U(32)) | np.maximum(a, b).astype(U))
+            hit = hit[side[hit] != side[hit + d]]
+        found.append((np.minimum(item[hit], item[hit + d]) << U(32)) | np.maximum(item[hit], item[hit + d]))
         if sum(map(len, found)) > 1 << 22:
             found = [np.unique(np.concatenate(found))]
     pairs = np.unique(np.concatenate(found)) if found else np.empty(0, U)
-    return (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64)
+    return (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64), *many
 
 
-def _reduce(scan: DataFrame, parts: int, sided: bool) -> DataFrame:
+def _reduce(scan: DataFrame, parts: int, sided: bool, hot: int) -> DataFrame:
     names = ["kind", "a", "b", "side", "field", "id", "hi", "sketch"]
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         if part < parts:
             side = _joined(table.column("side"), np.uint8) if sided else None
-            a, b = _same_key(_joined(table.column("key"), np.uint32), _joined(table.column("item"), np.uint32), side)
-            n = len(a)
-            return pa.table([pa.array(np.zeros(n, np.int32)), pa.array(a), pa.array(b), *(pa.nulls(n, k) for k in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
+            a, b, k, i, s = _same_key(_joined(table.column("key"), np.uint32), _joined(table.column("item"), np.uint32), side, hot)
+            n = len(a) + len(k)
+            kind, sides = np.r_[np.zeros(len(a), np.int32), np.full(len(k), 2, np.int32)], np.r_[np.zeros(len(a), np.int32), s]
+            key = k | (part << 32)
+            return pa.table([pa.array(kind), pa.array(np.r_[a, key]), pa.array(np.r_[b, i]), pa.array(sides), *(pa.nulls(n, x) for x in (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
         item, side, field = _joined(table.column("item"), U), _joined(table.column("side"), np.uint8), _joined(table.column("field"), np.uint8)
         sketch = b"".join(table.column("sketch").to_pylist())
         sketches = pa.Array.from_buffers(pa.binary(BINS), len(item), [None, pa.py_buffer(sketch)]).cast(pa.binary())
@@ -217,13 +227,14 @@ def _reduce(scan: DataFrame, parts: int, sided: bool) -> DataFrame:
     return scan.groupBy("part").applyInArrow(run, _OUT)
 
 
-def candidates(rows: DataFrame, keys: Callable, sided: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(features, candidate pairs of items) of one scan over rows (field, id, side, text)."""
+def candidates(rows: DataFrame, keys: Callable, sided: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(features, candidate pairs of items, rows (key, item) of crowded keys) of one scan over rows
+    (field, id, side, text)."""
     parts = min(60_000, max(48, 2 * partitions(rows.sparkSession)))
     feature_parts = max(4, parts // 12)
-    table = written(_reduce(_scan(rows, keys, parts, feature_parts, sided), parts, sided))
+    table = written(_reduce(_scan(rows, keys, parts, feature_parts, sided), parts, sided, hot))
     features = table.filter("kind = 1").select("field", "side", "id", F.col("a").alias("item"), F.col("b").alias("lo"), "hi", "sketch")
-    return features, table.filter("kind = 0").select("a", "b").distinct()
+    return features, table.filter("kind = 0").select("a", "b").distinct(), table.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("item"))
 
 
 @F.pandas_udf(DoubleType())
@@ -237,6 +248,39 @@ def _agreement(a, b):  # noqa: ANN001, ANN202
     return pd.Series(((x == y) & filled).sum(1) / np.maximum(1, filled.sum(1)))
 
 
+def _crowded(many: DataFrame, classes: DataFrame, least: float, sided: bool, hot: int) -> DataFrame:
+    """(field, ca, cb) of classes that share a crowded key and pass the screen.
+
+    The members of a key are dealt into blocks of about `hot`, and block meets block: each pair of
+    blocks is one row, whose sketches are compared in numpy, and only what passes comes out.
+    So work spreads over tasks, and no task or shuffle ever holds all pairs of a key."""
+    m = many.distinct().join(classes.select("item", "field", "side", "class", "sketch"), "item").select("key", "field", "side", "class", "sketch")
+    n = m.groupBy("key", "field").agg(F.ceil(F.count("*") / F.lit(hot)).alias("nb"))
+    dealt = m.join(n, ["key", "field"]).withColumn("blk", F.pmod(F.xxhash64("class"), F.col("nb")))
+    blocks = dealt.groupBy("key", "field", "side", "blk").agg(F.collect_list(F.struct("class", "sketch")).alias("l"))  # about `hot` each
+    blocks = written(blocks.select("key", "field", "side", "blk", F.col("l.class").alias("c"), F.col("l.sketch").alias("s")))
+    right = blocks.select("key", "field", F.col("side").alias("side2"), F.col("blk").alias("blk2"), F.col("c").alias("c2"), F.col("s").alias("s2"))
+    met = blocks.join(right, ["key", "field"]).filter("side = 0 AND side2 = 1" if sided else "blk <= blk2").select("field", "c", "s", "c2", "s2")
+    screen = SCREEN * least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                c, c2 = (batch.column(i)[k].values.to_numpy() for i in (1, 3))
+                x, y = (np.frombuffer(b"".join(batch.column(i)[k].values.to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 4))
+                field = batch.column(0)[k].as_py()
+                for at in range(0, len(x), 64):
+                    a = x[at : at + 64, None]
+                    filled = (a > 0) & (y[None] > 0)
+                    share = ((a == y[None]) & filled).sum(2) / np.maximum(1, filled.sum(2))
+                    i, j = np.nonzero(share >= screen)
+                    keep = c[at + i] != c2[j]
+                    i, j = c[at + i[keep]], c2[j[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), field, np.int32)), pa.array(i), pa.array(j)], ["field", "ca", "cb"])
+
+    return met.mapInArrow(run, "field int, ca bigint, cb bigint")
+
+
 @F.pandas_udf(DoubleType())
 def _jaccard(a, b):  # noqa: ANN001, ANN202
     """Likeness of two sorted unique sets, packed as int64."""
@@ -285,14 +329,14 @@ def triple_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(ids.select("field", "id"), ["field", "id"], "left_semi")
 
 
-def similar_classes(rows: DataFrame, keys: Callable, least: float, sided: bool = False) -> tuple[DataFrame, DataFrame]:
+def similar_classes(rows: DataFrame, keys: Callable, least: float, sided: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (field, side, id, class) has every eligible text with the smallest
     id among its equals (same triple set, field and side) as its class; links (field, class_a,
     class_b, likeness) every pair of different classes of one field found with likeness >= least
     (sided: one of side 0 and one of side 1). Nulls and texts of fewer than 20 words are in
     neither; repeated rows count once."""
     rows = rows.select("field", "id", "side", "text").filter(F.col("text").isNotNull())
-    features, pairs = candidates(rows, keys, sided)
+    features, pairs, many = candidates(rows, keys, sided, hot)
     by = ["field", "side", "lo", "hi"]
     classes = features.groupBy(*by).agg(F.min("id").alias("class"), F.first("item").alias("item"), F.first("sketch").alias("sketch"))
     classes = written(classes)
@@ -302,6 +346,8 @@ def similar_classes(rows: DataFrame, keys: Callable, least: float, sided: bool =
     b = classes.select(F.col("item").alias("b"), F.col("field").alias("fb"), F.col("side").alias("sb"), F.col("class").alias("cb"), F.col("sketch").alias("kb"))
     met = pairs.join(a, "a").join(b, "b").filter("fa = fb AND (sa <> sb)" if sided else "fa = fb")
     near = met.filter(_agreement("ka", "kb") >= SCREEN * least).select(F.col("fa").alias("field"), "ca", "cb")
+    if many.limit(1).count():
+        near = near.unionByName(_crowded(many, classes, least, sided, hot))
     if sided:  # equal sets on the two sides have one item
         same = classes.groupBy("field", "lo", "hi").agg(F.min(F.when(F.col("side") == 0, F.col("class"))).alias("ca"), F.min(F.when(F.col("side") == 1, F.col("class"))).alias("cb"))
         near = near.unionByName(same.filter("ca IS NOT NULL AND cb IS NOT NULL").select("field", "ca", "cb"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from slabwise.llm import common as C
 from slabwise.llm.duplicates import duplicate_groups, duplicate_pairs, near_duplicates
-from slabwise.llm.overlap import cross_split, image_names
+from slabwise.llm.overlap import cross_split, image_names, same_text
 from slabwise.llm.similar import Texts, groups, superminhash
 from slabwise.llm.topn import top_n
 
@@ -158,3 +158,31 @@ def test_cross_split_against_all_pairs(spark):
 def test_image_names(spark):
     df = spark.createDataFrame([(["/a/B/c.png", "x\\b\\C.PNG", None, "", " c.png "],), ([],), (None,)], "i array<string>")
     assert [r[0] for r in df.select(image_names(F.col("i"))).collect()] == [["b/c.png", "c.png"], [], None]
+
+
+def test_copies_of_a_third_of_all_rows(spark):
+    rng = random.Random(21)
+    texts = family(rng, 30, 2, 3)
+    copy = " ".join(rng.choice(WORDS) for _ in range(50))
+    near = copy.rsplit(" ", 2)[0] + " else where"
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").unionByName(spark.range(10_000, 16_000).select("id", F.lit(copy).alias("text"))).unionByName(spark.range(90_000, 90_001).select("id", F.lit(near).alias("text")))
+    members, links = near_duplicates(df.withColumn("field", F.lit(0)), 0.5)
+    g = duplicate_groups(members, links)
+    assert g.filter("class = 10000").count() == 6000 and g.filter("`group` = 10000").count() == 6001
+    assert links.filter("class_a = 10000 AND class_b = 90000").count() == 1
+
+
+def test_crowded_keys_are_compared_in_blocks(spark):
+    rng = random.Random(31)
+    common = " ".join(rng.choice(WORDS) for _ in range(16))
+    texts = [t + " " + common for t in family(rng, 40, 3, 6)]
+    rows = [(0, i, i % 2, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "field int, id long, side int, text string")
+    d = {i: (s, t) for _, i, s, t in rows}
+    want = {(a, b) for a in d for b in d if d[a][0] == 0 and d[b][0] == 1 and like(d[a][1], d[b][1]) >= 0.5}
+    for hot in (8, 10_000):
+        got = [(r["a"], r["b"]) for r in same_text(df, 0.5, hot).distinct().collect()]
+        assert len(want) > 40 and set(got) == want
+    wide = {(a, b) for a in d for b in d if a < b and like(d[a][1], d[b][1]) >= 0.65}
+    got = {(r["id_a"], r["id_b"]) for r in duplicate_pairs(*near_duplicates(df, 0.5, hot=2)).collect()}
+    assert wide <= got and all(like(d[a][1], d[b][1]) >= 0.5 for a, b in got)
