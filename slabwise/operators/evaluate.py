@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slabwise.functions import scoring as S
 from slabwise.functions.text import bleu, rouge_l, rouge_n, tokens
+from slabwise.functions.vocab import RUBRIC_WEIGHTS
 from slabwise.operators.preference import last_by
 
 METRICS = ["bleu", "rouge_1", "rouge_2", "rouge_l", "structure_score", "has_impression", "has_vascular", "clinical_score", "hallucination_score", "consistency_score", "uncertainty_score"]
@@ -26,10 +27,11 @@ def flat_metrics(df: DataFrame, key: str, prediction: str, reference: str) -> Da
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     m = d.select(
         key, rouge_n("_rt", "_pt", 1).alias("rouge_1"), rouge_n("_rt", "_pt", 2).alias("rouge_2"), rouge_l("_rt", "_pt").alias("rouge_l"), S.structure_score("_p").alias("structure_score"),
-        flag(S.has_impression("_p")).alias("has_impression"), flag(S.has_vascular("_p")).alias("has_vascular"), S.clinical_score("_p", "_r").alias("clinical_score"),
+        flag(S.has_impression("_p")).alias("has_impression"), flag(S.has_vascular("_p")).alias("has_vascular"),
         S.hallucination_score("_p", "_r").alias("hallucination_score"), S.consistency_score("_p").alias("consistency_score"), S.uncertainty_score("_p").alias("uncertainty_score"),
     )
-    return b.join(m, key).select(key, *METRICS)
+    parts = [F.col(f"{k}_score") * w for k, w in RUBRIC_WEIGHTS.items()]
+    return b.join(m.withColumn("clinical_score", parts[0] + parts[1] + parts[2]), key).select(key, *METRICS)
 
 
 def aggregate(df: DataFrame, metrics: list[str]) -> DataFrame:
