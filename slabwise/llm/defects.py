@@ -78,8 +78,8 @@ def pair_defects(rows: DataFrame) -> DataFrame:
     answer that only quotes its prompt's sentences before its own report is no copy, and a
     refusal is none when the text reports measures or has filled headings. A language
     counts from 12 words and 4 different function words on; a script of its own counts too.
-    Repeated rows give one row."""
-    base = rows.select("field", "rec_id", "source", "prompt", "answer")
+    Repeated rows give one row; rows without a field or an id are left out."""
+    base = rows.select("field", "rec_id", "source", "prompt", "answer").filter(F.col("field").isNotNull() & F.col("rec_id").isNotNull())
     w = base.withColumn("_a", _words("answer")).withColumn("_p", _words("prompt"))
 
     def triples(c: str) -> Column:

@@ -333,9 +333,9 @@ def similar_classes(rows: DataFrame, keys: Callable, least: float, sided: bool =
     """(members, links): members (field, side, id, class) has every eligible text with the smallest
     id among its equals (same triple set, field and side) as its class; links (field, class_a,
     class_b, likeness) every pair of different classes of one field found with likeness >= least
-    (sided: one of side 0 and one of side 1). Nulls and texts of fewer than 20 words are in
-    neither; repeated rows count once."""
-    rows = rows.select("field", "id", "side", "text").filter(F.col("text").isNotNull())
+    (sided: one of side 0 and one of side 1). Rows with a null in field, id, side or text and
+    texts of fewer than 20 words are in neither; repeated rows count once."""
+    rows = rows.select("field", "id", "side", "text").dropna()
     features, pairs, many = candidates(rows, keys, sided, hot)
     by = ["field", "side", "lo", "hi"]
     classes = features.groupBy(*by).agg(F.min("id").alias("class"), F.first("item").alias("item"), F.first("sketch").alias("sketch"))

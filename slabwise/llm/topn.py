@@ -21,7 +21,7 @@ def top_n(df: DataFrame, group: str, score: str, tie: str, n: int, hot_rows: int
       n x salts survivors of a group are ranked again.
     * Null groups, null and NaN scores are never kept; -0.0 counts as 0.0. Equal (group,
       score, tie) rows are the same item and count once (dense rank). A group with fewer than
-      n items keeps what it has; n = 0 and empty input give no rows; other columns are
+      n items keeps what it has; a null tie is the smallest; n = 0 and empty input give no rows; other columns are
       ignored, whatever their names."""
     if n < 0:
         raise ValueError("n must not be negative")

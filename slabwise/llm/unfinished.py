@@ -89,8 +89,8 @@ def unfinished(rows: DataFrame) -> DataFrame:
     rows: (field, rec_id, source, text); other columns are ignored. reason is limit (no terminal
     punctuation at a spike length), open (none, and no closing remark) or decimal (stops inside
     a decimal number). Null and blank texts and whole answers of a few words are not
-    unfinished; very long texts are taken whole; repeated rows give one row."""
-    rows = rows.select("field", "rec_id", "source", "text")
+    unfinished; rows without a field or an id are left out; very long texts are taken whole; repeated rows give one row."""
+    rows = rows.select("field", "rec_id", "source", "text").filter(F.col("field").isNotNull() & F.col("rec_id").isNotNull())
     t = checkpointed(tails(rows))  # narrow: no texts
     limits = spikes(t).select("field", "source", "unit", "at")
     by_chars = limits.filter("unit = 'chars'").select(F.col("field").alias("_f"), F.col("source").alias("_s"), F.col("at").alias("_at"), F.lit(True).alias("_c"))
@@ -110,7 +110,7 @@ def unfinished(rows: DataFrame) -> DataFrame:
 def truncation_report(rows: DataFrame) -> DataFrame:
     """(field, source, n_texts, n_unfinished, n_at_limit, share): how often each source cuts. A
     record counts once, however often it was sent."""
-    rows = rows.select("field", "rec_id", "source", "text")
+    rows = rows.select("field", "rec_id", "source", "text").filter(F.col("field").isNotNull() & F.col("rec_id").isNotNull())
     n = rows.filter(F.col("text").isNotNull()).dropDuplicates(["field", "rec_id"]).groupBy("field", "source").agg(F.count("*").alias("n_texts"))
     u = unfinished(rows).groupBy("field", F.col("source").alias("_s")).agg(F.count("*").alias("n_unfinished"), F.count_if("at_limit").alias("n_at_limit")).withColumnRenamed("field", "_f")
     j = n.join(u, (F.col("field") == F.col("_f")) & F.col("source").eqNullSafe(F.col("_s")), "left")

@@ -186,3 +186,14 @@ def test_crowded_keys_are_compared_in_blocks(spark):
     wide = {(a, b) for a in d for b in d if a < b and like(d[a][1], d[b][1]) >= 0.65}
     got = {(r["id_a"], r["id_b"]) for r in duplicate_pairs(*near_duplicates(df, 0.5, hot=2)).collect()}
     assert wide <= got and all(like(d[a][1], d[b][1]) >= 0.5 for a, b in got)
+
+
+def test_null_ids_are_left_out(spark):
+    t = " ".join(WORDS[:40])
+    df = spark.createDataFrame([(0, None, t), (0, 1, t), (None, 2, t), (0, 3, t)], "field int, id long, text string")
+    assert {(r["id_a"], r["id_b"]) for r in duplicate_pairs(*near_duplicates(df, 0.5)).collect()} == {(1, 3)}
+    rows = [(None, "a", None, t, "train"), (1, "a", None, t, "train"), (2, "A ", None, t, "val"), (None, "a", None, t, "test")]
+    df = spark.createDataFrame(rows, "rec_id long, case_id string, images array<string>, response string, split_name string")
+    assert [(r["a"], r["b"]) for r in cross_split(df, "rec_id", "split_name", "case_id", "response", "images").collect()] == [(1, 2)]
+    top = top_n(spark.createDataFrame([("g", None, 1.0), ("g", 5, 1.0)], "g string, i long, s double"), "g", "s", "i", 1)
+    assert [r["i"] for r in top.collect()] == [None]

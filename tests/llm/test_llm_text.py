@@ -78,6 +78,7 @@ def test_pair_defects(spark):
     assert not [k for k in got if k[1] >= 5000]
     assert all(r["defects"][0] == r["defect"] for r in got.values())
     assert pair_defects(df.limit(0)).count() == 0
+    assert pair_defects(spark.createDataFrame([(None, 1, "s", "p", None), ("f", None, "s", "p", None)], "field string, rec_id long, source string, prompt string, answer string")).count() == 0
 
 
 @pytest.fixture(scope="module")
