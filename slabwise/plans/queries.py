@@ -251,10 +251,12 @@ def random_score(spark: SparkSession, d: str) -> DataFrame:
 # ---- candidates and preferences --------------------------------------------
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Each candidate once; a NaN score is a missing one."""
-    c = _t(spark, d, "candidates").select("cand_id", "case_id", "cand_index", "text", "is_reference", F.when(~F.isnan("score"), F.col("score")).alias("score"))
-    return c.dropDuplicates(["cand_id"])
+def _candidates(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Each candidate once, with the columns asked for: a row that was sent twice has the same content,
+    so distinct rows are distinct candidates, hashed and combined before the shuffle. A NaN
+    score is a missing one."""
+    score = F.when(~F.isnan("score"), F.col("score")).alias("score")
+    return _t(spark, d, "candidates").select(*[score if c == "score" else c for c in columns]).distinct()
 
 
 CANDIDATES = "(SELECT DISTINCT cand_id, case_id, cand_index, text, is_reference, CASE WHEN NOT isnan(score) THEN score END AS score FROM candidates)"
@@ -282,7 +284,7 @@ _SCORED = (
 )
 def score_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Composite of fact and structure for every candidate, labels joined by case."""
-    c = _candidates(spark, d).join(_references(spark, d), "case_id", "left").withColumn("c", S.claims("text")).withColumn("g", S.labels("labels")).withColumn("k", S.contradictions("text"))
+    c = _candidates(spark, d, "cand_id", "case_id", "text").join(_references(spark, d), "case_id", "left").withColumn("c", S.claims("text")).withColumn("g", S.labels("labels")).withColumn("k", S.contradictions("text"))
     c = c.withColumn("f", S.fact_report("c", "g", "k"))
     out = c.select("cand_id", F.col("f.available").alias("available"), S.composite(F.when(F.col("f.available"), F.col("f.score")), None, S.structure_score("text"), None).alias("s"))
     return out.select("cand_id", "available", _r("s.score").alias("score"))
@@ -293,12 +295,12 @@ def score_candidates(spark: SparkSession, d: str) -> DataFrame:
     SELECT c.case_id, b.cand_id AS best, c.cand_id AS worse, b.s AS best_score, c.s AS worse_score FROM c JOIN b USING (case_id) WHERE c.cand_id <> b.cand_id AND b.s > c.s + 0.05::DOUBLE"""
 )
 def preference_pairwise(spark: SparkSession, d: str) -> DataFrame:
-    return P.pairwise_flat(_candidates(spark, d).filter("case_id IS NOT NULL"), "case_id", "cand_id", "score")
+    return P.pairwise_flat(_candidates(spark, d, "cand_id", "case_id", "score").filter("case_id IS NOT NULL"), "case_id", "cand_id", "score")
 
 
 @query(f"SELECT cand_id, CASE WHEN coalesce(score, 0) >= 0.5::DOUBLE THEN 'good' ELSE 'bad' END AS preference FROM {CANDIDATES}")
 def preference_binary(spark: SparkSession, d: str) -> DataFrame:
-    return _candidates(spark, d).select("cand_id", P.preference(F.coalesce("score", F.lit(0.0))).alias("preference"))
+    return _candidates(spark, d, "cand_id", "score").select("cand_id", P.preference(F.coalesce("score", F.lit(0.0))).alias("preference"))
 
 
 @query(f"SELECT CASE WHEN coalesce(score, 0) >= 0.5::DOUBLE THEN 'good' ELSE 'bad' END AS preference, count(*) AS n FROM {CANDIDATES} GROUP BY 1")
@@ -310,7 +312,7 @@ def preference_binary_distribution(spark: SparkSession, d: str) -> DataFrame:
     f"""SELECT g.case_id, g.cand_id AS item, g.s AS score, g.r AS rank, f.reference IS NOT NULL AS has_reference FROM (SELECT case_id, cand_id, s, r FROM (SELECT case_id, cand_id, coalesce(score, 0) AS s, row_number() OVER (PARTITION BY case_id ORDER BY coalesce(score, 0) DESC, cand_id) AS r FROM {CANDIDATES} WHERE case_id IS NOT NULL) WHERE r <= 4) g LEFT JOIN {REFERENCES} f ON g.case_id = f.case_id"""
 )
 def preference_group(spark: SparkSession, d: str) -> DataFrame:
-    top = P.top_k_flat(_candidates(spark, d).filter("case_id IS NOT NULL"), "case_id", "cand_id", "score")
+    top = P.top_k_flat(_candidates(spark, d, "cand_id", "case_id", "score").filter("case_id IS NOT NULL"), "case_id", "cand_id", "score")
     return top.join(_references(spark, d).select("case_id", "reference"), "case_id", "left").select("case_id", "item", "score", big(F.col("rank")).alias("rank"), F.col("reference").isNotNull().alias("has_reference"))
 
 
@@ -322,13 +324,13 @@ def trainer_records_pairwise(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT cand_id, text AS completion, coalesce(score, 0) >= 0.5::DOUBLE AS label, CASE WHEN coalesce(score, 0) >= 0.5::DOUBLE THEN 1.0::DOUBLE ELSE 0.0 END AS value FROM {CANDIDATES}")
 def trainer_records_binary(spark: SparkSession, d: str) -> DataFrame:
     p = P.preference(F.coalesce("score", F.lit(0.0)))
-    return _candidates(spark, d).select("cand_id", F.col("text").alias("completion"), (p == "good").alias("label"), F.when(p == "good", 1.0).otherwise(0.0).alias("value"))
+    return _candidates(spark, d, "cand_id", "text", "score").select("cand_id", F.col("text").alias("completion"), (p == "good").alias("label"), F.when(p == "good", 1.0).otherwise(0.0).alias("value"))
 
 
 @query(f"SELECT case_id, text AS completion FROM {CANDIDATES} WHERE case_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY coalesce(score, 0) DESC, cand_id) = 1")
 def trainer_records_group(spark: SparkSession, d: str) -> DataFrame:
     """The best candidate's text per case, by a combining aggregate."""
-    c = _candidates(spark, d).filter("case_id IS NOT NULL")
+    c = _candidates(spark, d, "cand_id", "case_id", "text", "score").filter("case_id IS NOT NULL")
     return c.groupBy("case_id").agg(F.max_by("text", F.struct(F.coalesce("score", F.lit(0.0)), -F.col("cand_id"))).alias("completion"))
 
 
@@ -336,14 +338,14 @@ def trainer_records_group(spark: SparkSession, d: str) -> DataFrame:
     f"""SELECT case_id, cand_id, text, false AS is_appended FROM {CANDIDATES} WHERE case_id IS NOT NULL UNION ALL SELECT f.case_id, 0, f.reference, true FROM {REFERENCES} f WHERE length(f.reference) > 0 AND f.case_id IN (SELECT case_id FROM candidates)"""
 )
 def reference_append(spark: SparkSession, d: str) -> DataFrame:
-    c = _candidates(spark, d).filter("case_id IS NOT NULL").select("case_id", "cand_id", "text", F.lit(False).alias("is_appended"))
+    c = _candidates(spark, d, "cand_id", "case_id", "text").filter("case_id IS NOT NULL").select("case_id", "cand_id", "text", F.lit(False).alias("is_appended"))
     r = _references(spark, d).filter(F.length("reference") > 0).join(c.select("case_id").distinct(), "case_id", "left_semi")
     return c.unionByName(r.select("case_id", F.lit(0).cast("bigint").alias("cand_id"), F.col("reference").alias("text"), F.lit(True).alias("is_appended")))
 
 
 @query("SELECT sum(n)::BIGINT AS n_candidates, count(*) AS n_cases FROM (SELECT case_id, count(DISTINCT cand_id) AS n FROM candidates WHERE case_id IS NOT NULL GROUP BY case_id)")
 def candidate_totals(spark: SparkSession, d: str) -> DataFrame:
-    n = _candidates(spark, d).filter("case_id IS NOT NULL").groupBy("case_id").agg(F.count("*").alias("n"))
+    n = _candidates(spark, d, "cand_id", "case_id").filter("case_id IS NOT NULL").groupBy("case_id").agg(F.count("*").alias("n"))
     return n.agg(F.sum("n").alias("n_candidates"), F.count("*").alias("n_cases"))
 
 
@@ -461,7 +463,7 @@ _EVAL = f"""WITH p AS (SELECT case_id, arg_max(text, cand_id) AS prediction FROM
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     """Every record against the last candidate of its case; none counts as an empty prediction."""
     test = IO.spread(_t(spark, d, "ctamip_dataset").select("rec_id", "case_id", "response"))
-    return E.flat_metrics(E.join_predictions(test, "case_id", _candidates(spark, d), "text", "cand_id"), "rec_id", "prediction", "response")
+    return E.flat_metrics(E.join_predictions(test, "case_id", _candidates(spark, d, "cand_id", "case_id", "text"), "text", "cand_id"), "rec_id", "prediction", "response")
 
 
 @query(_EVAL + "SELECT rec_id, " + ", ".join(f"round({m}, 6) AS {m}" for m in E.METRICS) + " FROM m")
