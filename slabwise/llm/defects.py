@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,24 +44,22 @@ PLACEHOLDER = r"n\s?/\s?a|n\.a\.|none|null|nil|nan|tbd|todo|pending|empty|no ans
 _MARKUP = r"<\|?/?[\p{L}_][^<>]*\|?>|&nbsp;|```\w*"
 
 
-def _words(text: Column) -> Column:
-    return F.expr("regexp_extract_all(lower({}), '[\\\\p{{L}}\\\\p{{N}}]+', 0)".format(text))
-
-
-CONTENT_WORDS = 12  # so many different words besides headings can't be an empty answer without markup
+def _words(text: str) -> Column:
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def empty(text: Column, words: Column) -> Column:
     """Nothing but blanks, headings, placeholders or markup; null too. words: those of the text."""
-    bare = F.regexp_replace(text, _MARKUP, " ")
+    known = set(regex.findall(r"\p{L}+", HEADING.replace("[oó]", "ó") + " " + PLACEHOLDER.replace(r"\s", " ")))
+    said = F.array_except(words, F.array(*map(F.lit, sorted(known))))  # words that are no heading and no placeholder
+    full = (F.size(said) > 0) & ~F.contains(text, F.lit("<")) & ~F.contains(text, F.lit("&")) & ~F.contains(text, F.lit("`"))
+    rest = F.when(full, F.lit("x")).otherwise(text)  # only what may be empty goes through the patterns
+    bare = F.regexp_replace(rest, _MARKUP, " ")
     bare = F.regexp_replace(bare, rf"(?i)(?<![\p{{L}}])(?:{HEADING})\s*(?::|(?=\W*$)|(?=\W*\n))", " ")
-    bare = F.regexp_replace(bare, r"[\s\p{Z}\p{C}\p{P}\p{S}]+", " ")
-    bare = F.trim(bare)
-    mark = F.trim(F.regexp_replace(text, r"[\s\p{Z}\p{C}\[\](){}<>*_#|\"'.:-]+", " "))
-    headings = F.array(*map(F.lit, sorted(set(" ".join(HEADING.replace("(?: first)?", " first").replace("(?:", "|").replace(")", "|").replace("[oó]", "ó").split("|")).split()))))
-    full = (F.size(F.array_except(words, headings)) > CONTENT_WORDS) & ~F.contains(text, F.lit("<"))
+    bare = F.trim(F.regexp_replace(bare, r"[\s\p{Z}\p{C}\p{P}\p{S}]+", " "))
+    mark = F.trim(F.regexp_replace(rest, r"[\s\p{Z}\p{C}\[\](){}<>*_#|\"'.:-]+", " "))
     nothing = (bare == "") | mark.rlike(rf"(?i)^(?:{PLACEHOLDER})$") | bare.rlike(rf"(?i)^(?:{PLACEHOLDER.replace('.', ' ?')})$")
-    return F.when(text.isNull(), True).when(full, False).otherwise(nothing)
+    return F.coalesce(nothing, F.lit(True))
 
 
 def _language(words: Column) -> Column:
@@ -90,7 +89,7 @@ def pair_defects(rows: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect("_at", "_pt"))
     is_copy = (F.size("_a") >= COPY_WORDS) & (F.size("_at") > 0) & (shared >= COPY_SHARE * F.size("_at"))
     reports = F.col("answer").rlike(MEASURE) | F.col("answer").rlike(rf"(?i)(?<![\p{{L}}])(?:{HEADING})\W{{0,3}}[:\n]")
-    is_refusal = ~reports & F.col("answer").rlike(REFUSAL)
+    is_refusal = F.when(reports, F.lit("")).otherwise(F.col("answer")).rlike(REFUSAL)
 
     foreign = r"\p{IsCyrillic}\p{IsArabic}\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsGreek}\p{IsHebrew}\p{IsDevanagari}\p{IsThai}"
     la, lp = _language(F.col("_a")), _language(F.col("_p"))
