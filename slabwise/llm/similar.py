@@ -148,7 +148,9 @@ def _scan(rows: DataFrame, keys: Callable, parts: int, feature_parts: int, sided
                 h, t = keys(x)
                 twin = x.lo ^ (side.astype(U) * U(0x9E3779B97F4A7C15))
                 first = np.zeros(x.size, bool)
-                first[x.which[np.unique(twin[x.which], return_index=True)[1]]] = True
+                order = np.argsort(twin[x.which], kind="stable")
+                mine = twin[x.which][order]
+                first[x.which[order[np.r_[True, mine[1:] != mine[:-1]]]]] = True
                 if not first[t].all():  # of copies in one step, one speaks for all
                     h, t = h[first[t]], t[first[t]]
                 part = ((h >> U(32)) * U(parts) >> U(32)).astype(np.uint16)
@@ -174,6 +176,14 @@ def _joined(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
 
+def _unique(x: np.ndarray) -> np.ndarray:
+    """Sorted different values; sorts x in place, which is faster here than hashing."""
+    x.sort()
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
 def _same_key(key: np.ndarray, item: np.ndarray, side: np.ndarray | None, hot: int) -> tuple[np.ndarray, ...]:
     """Unique pairs (a, b) of different items with the same key, and the rows (key, item, side) of keys
     that more than `hot` items share, which are left unpaired; side: 0 meets 1 only. Copies of
@@ -181,10 +191,13 @@ def _same_key(key: np.ndarray, item: np.ndarray, side: np.ndarray | None, hot: i
     both = (key.astype(U) << U(32)) | (item.astype(U) << U(1))
     if side is not None:
         both |= side.astype(U)
-    both = np.unique(both)
+    both = _unique(both)
     starts = np.flatnonzero(np.r_[True, both[1:] >> U(32) != both[:-1] >> U(32)]) if len(both) else np.empty(0, np.int64)
-    crowded = np.repeat(np.diff(np.r_[starts, len(both)]) > hot, np.diff(np.r_[starts, len(both)]))
-    rest, both = both[crowded], both[~crowded]
+    sizes = np.diff(np.r_[starts, len(both)])
+    rest = both[:0]
+    if (sizes > hot).any():
+        crowded = np.repeat(sizes > hot, sizes)
+        rest, both = both[crowded], both[~crowded]
     many = ((rest >> U(32)).astype(np.int64), ((rest & U(0xFFFFFFFF)) >> U(1)).astype(np.int64), (rest & U(1)).astype(np.int32))
     n = len(both)
     key, item, side = both >> U(32), (both & U(0xFFFFFFFF)) >> U(1), both & U(1) if side is not None else None
@@ -201,8 +214,8 @@ def _same_key(key: np.ndarray, item: np.ndarray, side: np.ndarray | None, hot: i
             hit = hit[side[hit] != side[hit + d]]
         found.append((np.minimum(item[hit], item[hit + d]) << U(32)) | np.maximum(item[hit], item[hit + d]))
         if sum(map(len, found)) > 1 << 22:
-            found = [np.unique(np.concatenate(found))]
-    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, U)
+            found = [_unique(np.concatenate(found))]
+    pairs = _unique(np.concatenate(found)) if found else np.empty(0, U)
     return (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64), *many
 
 
