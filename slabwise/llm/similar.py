@@ -61,7 +61,10 @@ def superminhash(x: Texts, slots: int) -> np.ndarray:
     Every element ranks the slots by a permutation of its own (an arithmetic progression modulo
     the prime number of slots) and offers its j-th slot the value j + r with a fresh r in
     [0, 1); a slot keeps the least. Values of round j lie above all of earlier rounds, so
-    rounds go over all elements at once and a text leaves as soon as its slots are full."""
+    rounds go over all elements at once and a text leaves as soon as its slots are full. A value
+    is the round in 9 bits and r in 23: a text of one element needs as many rounds as slots."""
+    if slots > 512:
+        raise ValueError("at most 512 slots")
     texts = len(x.which)
     sig = np.full((texts, slots), 0xFFFFFFFF, np.uint32)
     if not texts:
@@ -73,7 +76,7 @@ def superminhash(x: Texts, slots: int) -> np.ndarray:
     base = (np.cumsum(x.n > 0) - 1)[x.t].astype(np.int32) * np.int32(slots)
     seed = mix64(h)
     for j in range(slots):
-        r = ((seed * U(2 * j + 0x9E3779B97F4A7C15)) >> U(40)).astype(np.uint32) | np.uint32(j << 24)
+        r = ((seed * U(2 * j + 0x9E3779B97F4A7C15)) >> U(41)).astype(np.uint32) | np.uint32(j << 23)
         np.minimum.at(flat, base + at, r)
         at += step
         at[at >= slots] -= np.int32(slots)

@@ -197,3 +197,15 @@ def test_null_ids_are_left_out(spark):
     assert [(r["a"], r["b"]) for r in cross_split(df, "rec_id", "split_name", "case_id", "response", "images").collect()] == [(1, 2)]
     top = top_n(spark.createDataFrame([("g", None, 1.0), ("g", 5, 1.0)], "g string, i long, s double"), "g", "s", "i", 1)
     assert [r["i"] for r in top.collect()] == [None]
+
+
+def test_texts_of_few_different_triples(spark):
+    rows = [(0, 100 * k + c, " ".join("abcdef"[i % k] for i in range(40 + c))) for k in range(1, 7) for c in (0, 1)]
+    x = Texts(pa.array([r[2] for r in rows]), np.zeros(len(rows), np.int32))
+    assert set(x.n) == set(range(1, 7))
+    sig = superminhash(x, 353)
+    assert (sig != 0xFFFFFFFF).all() and (sig[::2] == sig[1::2]).all()
+    members, links = near_duplicates(spark.createDataFrame(rows, "field int, id long, text string"), 0.5)
+    got = {(r["id_a"], r["id_b"]) for r in duplicate_pairs(members, links).collect()}
+    assert got == {(100 * k, 100 * k + 1) for k in range(1, 7)}
+    assert duplicate_groups(members, links).count() == len(rows)
