@@ -283,11 +283,23 @@ _SCORED = (
     _SCORED + f"""SELECT cand_id, available, round({Q.clip("(CASE WHEN available THEN fact_score * 0.5::DOUBLE ELSE 0 END + s * 0.1::DOUBLE) / (CASE WHEN available THEN 0.5::DOUBLE ELSE 0 END + 0.1::DOUBLE)")}, 6) AS score FROM (SELECT *, {Q.structure('x')} AS s FROM f)"""
 )
 def score_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Composite of fact and structure for every candidate, labels joined by case."""
+    """Composite of fact and structure alone, as its SQL has it; score_candidates_whole adds similarity."""
+    s = S.composite(F.when(F.col("f.available"), F.col("f.score")), None, S.structure_score("text"), None)
+    return _judged(spark, d).select("cand_id", F.col("f.available").alias("available"), _r(s["score"]).alias("score"))
+
+
+@query()
+def score_candidates_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Composite of fact, structure and, where the case has a reference, similarity to it."""
+    similarity = F.when(F.length("reference") > 0, T.rouge_l(T.tokens("reference"), T.tokens("text")))
+    s = S.composite(F.when(F.col("f.available"), F.col("f.score")), None, S.structure_score("text"), similarity)
+    return _judged(spark, d).select("cand_id", F.col("f.available").alias("available"), _r(s["score"]).alias("score"))
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    """Each candidate with the reference of its case and its fact report f, labels joined by case."""
     c = _candidates(spark, d, "cand_id", "case_id", "text").join(_references(spark, d), "case_id", "left").withColumn("c", S.claims("text")).withColumn("g", S.labels("labels")).withColumn("k", S.contradictions("text"))
-    c = c.withColumn("f", S.fact_report("c", "g", "k"))
-    out = c.select("cand_id", F.col("f.available").alias("available"), S.composite(F.when(F.col("f.available"), F.col("f.score")), None, S.structure_score("text"), None).alias("s"))
-    return out.select("cand_id", "available", _r("s.score").alias("score"))
+    return c.withColumn("f", S.fact_report("c", "g", "k"))
 
 
 @query(

@@ -132,3 +132,31 @@ def test_report(spark):
     r = json.loads(E.report(a, {"model": "m"}).first()["report"])
     assert r["config"] == {"model": "m"} and r["aggregated_metrics"]["a"]["mean"] == 1.0
     assert sorted(x["line"] for x in E.summary(a).collect()) == ["a: 1.0000, 0.0000", "b: 2.0000, 0.0000"]
+
+
+def test_candidates_are_scored_against_the_reference(spark, tmp_path):
+    from slabwise.plans import queries as Q
+
+    labels = '{"anomaly_present": true, "vessel": "MCA", "side": "left"}'
+    reference = "Vascular: left MCA occlusion is seen . Impression: acute stroke"
+    refs = [(1, "a", "an older one", None), (2, "a", reference, labels), (3, "b", reference, None), (4, "c", "", labels), (5, "d", None, labels)]
+    texts = ["left MCA occlusion", "Impression: no occlusion of the right MCA", "acute  STROKE is seen", ""]
+    cands = [(10 * i + j, c, t) for i, c in enumerate(["a", "b", "c", "d", "e"]) for j, t in enumerate(texts)]
+    spark.createDataFrame(refs, "rec_id long, case_id string, response string, labels string").write.parquet(f"{tmp_path}/ctamip_dataset.parquet")
+    spark.createDataFrame(cands + cands[:3], "cand_id long, case_id string, text string").write.parquet(f"{tmp_path}/candidates.parquet")
+    part = {r["cand_id"]: r for r in Q.score_candidates(spark, str(tmp_path)).collect()}
+    got = {r["cand_id"]: r for r in Q.score_candidates_whole(spark, str(tmp_path)).collect()}
+
+    def lcs(a, b):
+        if not a or not b:
+            return 0
+        return lcs(a[:-1], b[:-1]) + 1 if a[-1] == b[-1] else max(lcs(a[:-1], b), lcs(a, b[:-1]))
+
+    assert len(got) == len(cands)
+    for i, c, t in cands:
+        want, w = part[i]["score"], 0.6 if part[i]["available"] else 0.1
+        if c in "ab":
+            r, h = reference.lower().split(), t.lower().split()
+            want = (want * w + 0.1 * lcs(r, h) / len(r)) / (w + 0.1)
+        assert got[i]["available"] == part[i]["available"] and got[i]["score"] == pytest.approx(want, abs=2e-6)
+    assert got[0]["score"] != part[0]["score"]
