@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slabwise.llm.common import written
-from slabwise.llm.similar import HOT, similar_classes, word_runs
-
-LONG_RUN, SHORT_RUN, SHORT_WORDS, WINNOW = 12, 6, 40, 3
+from slabwise.llm.prefixes import CROWD, prefix_candidates
+from slabwise.llm.similar import similar_classes
 
 
 def image_names(images: Column) -> Column:
@@ -59,12 +58,12 @@ def same_images(d: DataFrame, least: float) -> DataFrame:
     return near.join(ids.filter("side = 0").select(F.col("c").alias("ca"), F.col("id").alias("a")), "ca").join(ids.filter("side = 1").select(F.col("c").alias("cb"), F.col("id").alias("b")), "cb").select("a", "b")
 
 
-def same_text(d: DataFrame, least: float, hot: int = HOT) -> DataFrame:
-    """(a, b): ids whose texts have a likeness of at least `least`. Hashes of word runs of the
-    evaluation texts are looked up in those of training, partition by partition. Of every
-    WINNOW runs next to each other at least one is kept, the same in both texts."""
+def same_text(d: DataFrame, least: float, hot: int = CROWD) -> DataFrame:
+    """(a, b): ids whose texts have a likeness of at least `least`. Each text is known by its triples
+    in which fewest texts meet - as many as a partner at that likeness can't miss - and those
+    of the evaluation texts are looked up in those of training, partition by partition."""
     rows = d.select(F.lit(0).alias("field"), "id", "side", "text")
-    members, links = similar_classes(rows, word_runs(LONG_RUN, SHORT_RUN, SHORT_WORDS, WINNOW), least, sided=True, hot=hot)
+    members, links = similar_classes(rows, prefix_candidates, least, sided=True, hot=hot)
     ends = links.select("class_a", "class_b").unionByName(links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
     a = members.filter("side = 0").select(F.col("class").alias("class_a"), F.col("id").alias("a"))
     b = members.filter("side = 1").select(F.col("class").alias("class_b"), F.col("id").alias("b"))

@@ -1,6 +1,6 @@
 """Pairs of texts with a likeness (Jaccard of word triples) of at least a threshold.
 
-One scan turns each text into keys - bands of a SuperMinHash signature or hashes of word runs -
+One scan turns each text into keys - bands of a SuperMinHash signature, or prefixes (prefixes.py) -
 and one small feature row. Keys travel as packed columns, 8 bytes each, to the partition of
 their hash; texts that share a key become candidates. A text is known there by a fold of the
 hash of its whole triple set, so copies fall together and never make pairs. Candidates are
@@ -105,33 +105,6 @@ def bands(n_bands: int, rows: int, prime: int) -> Callable[[Texts], tuple[np.nda
     return keys
 
 
-def word_runs(long_run: int, short_run: int, short_words: int, winnow: int) -> Callable[[Texts], tuple[np.ndarray, np.ndarray]]:
-    """Keys: hashes of runs of long_run words; of each `winnow` runs next to each other the least hash
-    is kept, so texts with long_run + winnow - 1 words in common there share a key. Texts of
-    at most short_words words give all runs of short_run words too."""
-
-    def keys(x: Texts) -> tuple[np.ndarray, np.ndarray]:
-        able = x.n > 0
-        h1, t1 = runs(x.words, x.counts, long_run)
-        keep = np.zeros(len(h1), bool)
-        last = len(h1) - winnow + 1
-        if last > 0:
-            low, at = h1[:last].copy(), np.arange(last)
-            for k in range(1, winnow):
-                less = h1[k : last + k] < low
-                low[less], at[less] = h1[k : last + k][less], np.flatnonzero(less) + k
-            keep[at[t1[:last] == t1[winnow - 1 :]]] = True
-        edge = np.bincount(t1, minlength=x.size) < winnow  # texts with fewer runs than that keep all
-        keep |= edge[t1]
-        h2, t2 = runs(x.words, x.counts, short_run)
-        k1, k2 = keep & able[t1], (able & (x.counts <= short_words))[t2]
-        h = np.concatenate([h1[k1], mix64(h2[k2] + U(9))])
-        t = np.concatenate([t1[k1], t2[k2]])
-        return mix64(h + x.salt[t]), t
-
-    return keys
-
-
 _SCAN = "part int, key binary, item binary, side binary, field binary, id binary, lo binary, hi binary, sketch binary"
 _OUT = "kind int, a bigint, b bigint, side int, field int, id bigint, hi bigint, sketch binary"
 
@@ -349,10 +322,11 @@ def similar_classes(rows: DataFrame, keys: Callable, least: float, sided: bool =
     """(members, links): members (field, side, id, class) has every eligible text with the smallest
     id among its equals (same triple set, field and side) as its class; links (field, class_a,
     class_b, likeness) every pair of different classes of one field found with likeness >= least
-    (sided: one of side 0 and one of side 1). Rows with a null in field, id, side or text and
+    (sided: one of side 0 and one of side 1, and keys(rows, least, hot) gives what candidates
+    gives). Rows with a null in field, id, side or text and
     texts of fewer than 20 words are in neither; repeated rows count once."""
     rows = rows.select("field", "id", "side", "text").dropna()
-    features, pairs, many = candidates(rows, keys, sided, hot)
+    features, pairs, many = keys(rows, least, hot) if sided else candidates(rows, keys, hot=hot)
     by = ["field", "side", "lo", "hi"]
     classes = features.groupBy(*by).agg(F.min("id").alias("class"), F.first("item").alias("item"), F.first("sketch").alias("sketch"))
     classes = written(classes)

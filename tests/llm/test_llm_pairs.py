@@ -209,3 +209,16 @@ def test_texts_of_few_different_triples(spark):
     got = {(r["id_a"], r["id_b"]) for r in duplicate_pairs(members, links).collect()}
     assert got == {(100 * k, 100 * k + 1) for k in range(1, 7)}
     assert duplicate_groups(members, links).count() == len(rows)
+
+
+def test_texts_without_a_long_run_in_common(spark):
+    rng = random.Random(41)
+    rows = []
+    for i, (n, every) in enumerate([(90, 10), (90, 11), (200, 10), (200, 12), (60, 10), (41, 13)]):
+        w = [rng.choice(WORDS) for _ in range(n)]
+        other = [rng.choice(WORDS) if k % every == every - 1 else x for k, x in enumerate(w)]
+        rows += [(2 * i, 0, " ".join(w)), (2 * i + 1, 1, " ".join(other))]
+    want = {(a, b) for a, s, t in rows for b, r, u in rows if s == 0 and r == 1 and like(t, u) >= 0.5}
+    assert len(want) == 6
+    df = spark.createDataFrame(rows, "id long, side int, text string")
+    assert {(r["a"], r["b"]) for r in same_text(df, 0.5).collect()} == want
