@@ -129,10 +129,18 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack(checkpointed(sizes(table(spark, d, "documents"), "doc_id", "text")), "doc_id", "n_tokens")
 
 
-def _personal(spark: SparkSession, d: str) -> DataFrame:
-    from slabwise.llm.personal import scan
+_TAGGERS: dict[tuple[str, str], object] = {}
+
 
-    return scan(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "given_names"))
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    """The tagger is fitted once per application and table, and passed to the scan."""
+    from slabwise.llm.personal import scan, train
+    from slabwise.llm.tagger import Tagger
+
+    docs, at = table(spark, d, "documents"), (spark.sparkContext.applicationId, d)
+    if at not in _TAGGERS:
+        _TAGGERS[at] = train(docs, "doc_id", "text", table(spark, d, "given_names")) or Tagger()
+    return scan(docs, "doc_id", "text", model=_TAGGERS[at])
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
+BATCH = 32
+UNKNOWN = 255  # a label that leaves the tag open
 _OTHER = {"Lu": 96, "Ll": 97, "L": 98, "N": 99, "P": 100, "Z": 101, "M": 102}
 ALPHABET = 105  # 0 pads; printable ASCII; classes of other characters
 
@@ -121,93 +125,125 @@ class Tagger:
     # ---- training ----------------------------------------------------------
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log-likelihood per character and its gradients."""
+        """Mean negative log-likelihood per character and its gradients. Where a tag is UNKNOWN, every
+        tag agrees with the labels: the likelihood sums over all of them."""
         n, t = ids.shape
         h, keep = self.h, []
         hidden = self._run(ids, keep)
-        e = (hidden @ self.p["V"] + self.p["b"]).astype(np.float64)
-        a = self._transitions().astype(np.float64)
-        ea = np.exp(a)
+        e = hidden @ self.p["V"] + self.p["b"]
+        ea = np.exp(self._transitions())
         peak = e.max(2, keepdims=True)
+        agrees = (tags.T[:, :, None] == np.arange(TAGS)) | (tags.T == UNKNOWN)[:, :, None]
         ee = np.exp(e - peak)
-        alpha, scale = np.empty_like(ee), np.empty((t, n, 1))
+        ee = np.concatenate([ee, ee * agrees], 1)  # all sequences, then those that agree with the labels
+        alpha, scale = np.empty_like(ee), np.empty((t, 2 * n, 1), np.float32)
         cur = ee[0]
         for s in range(t):
             if s:
                 cur = (alpha[s - 1] @ ea) * ee[s]
             scale[s] = cur.sum(1, keepdims=True)
             alpha[s] = cur / scale[s]
-        beta = np.ones((t, n, TAGS))
-        counts = np.zeros((TAGS, TAGS))
+        beta = np.ones((t, 2 * n, TAGS), np.float32)
+        w = ee[1:] / scale[1:]
         for s in range(t - 2, -1, -1):
-            w = beta[s + 1] * ee[s + 1] / scale[s + 1]
-            beta[s] = w @ ea.T
-            counts += alpha[s].T @ w
+            w[s] *= beta[s + 1]
+            beta[s] = w[s] @ ea.T
+        before = alpha[:-1].copy()
+        before[:, n:] *= -1
+        counts = np.tensordot(before, w, ((0, 1), (0, 1)))
         marginal = alpha * beta
-        gold = tags.T
-        ti, ni = np.arange(t)[:, None], np.arange(n)[None, :]
-        ll = e[ti, ni, gold].sum() + a[gold[:-1], gold[1:]].sum() - (np.log(scale).sum() + peak.sum())
-        de = marginal
-        de[ti, ni, gold] -= 1.0
-        da = counts * ea
-        np.subtract.at(da, (gold[:-1].ravel(), gold[1:].ravel()), 1.0)
         size = float(n * t)
-        de = (de / size).astype(np.float32)
-        g = {"A": (da / size).astype(np.float32), "b": de.sum((0, 1)), "V": hidden.reshape(-1, 2 * h).T @ de.reshape(-1, TAGS)}
-        dh = de @ self.p["V"].T
-        gx, gu = np.zeros_like(self.p["X"]), np.zeros_like(self.p["U"])
+        ll = float((np.log(scale[:, n:]) - np.log(scale[:, :n])).sum(dtype=np.float64))
+        de = ((marginal[:, :n] - marginal[:, n:]) / size).astype(np.float32)
+        g = {"A": (counts * ea / size).astype(np.float32), "b": de.sum((0, 1)), "V": hidden.reshape(-1, 2 * h).T @ de.reshape(-1, TAGS)}
+        dh = (de.reshape(-1, TAGS) @ self.p["V"].T).reshape(t, n, 2 * h)
+        gx = np.zeros_like(self.p["X"])
         both = np.stack([ids.T, ids.T[::-1]])
         ds, dc = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
         ut = np.ascontiguousarray(self.p["U"].transpose(0, 2, 1))
-        dz = np.empty((2, n, 4 * h), np.float32)
         dzs = np.empty((t, 2, n, 4 * h), np.float32)
+        inside = (both > 0)[..., None]
+        padded = not inside.all()
         for s in range(t - 1, -1, -1):
-            z, before, prev = keep[s]
+            z, old, _ = keep[s]
             i, f, o, c = (z[..., k * h : (k + 1) * h] for k in range(4))
             ds[0] += dh[s, :, :h]
             ds[1] += dh[t - 1 - s, :, h:]
-            th = np.tanh((before * f + i * c) * (both[:, s] > 0)[:, :, None])
+            cell = old * f
+            cell += i * c
+            if padded:
+                cell *= inside[:, s]
+            th = np.tanh(cell)
             dc += ds * o * (1 - th * th)
-            dc *= (both[:, s] > 0)[:, :, None]
-            dz[..., :h] = dc * c * i * (1 - i)
-            dz[..., h : 2 * h] = dc * before * f * (1 - f)
-            dz[..., 2 * h : 3 * h] = ds * th * o * (1 - o)
-            dz[..., 3 * h :] = dc * i * (1 - c * c)
-            dzs[s] = dz
-            gu += prev.transpose(0, 2, 1) @ dz
+            if padded:
+                dc *= inside[:, s]
+            dz = dzs[s]
+            dz[..., : 3 * h] = z[..., : 3 * h]
+            dz[..., : 3 * h] *= 1 - z[..., : 3 * h]
+            dz[..., :h] *= dc * c
+            dz[..., h : 2 * h] *= dc * old
+            dz[..., 2 * h : 3 * h] *= ds * th
+            np.multiply(dc * i, 1 - c * c, out=dz[..., 3 * h :])
             ds = dz @ ut
             dc = dc * f
-        for d in range(2):
+        prev = np.stack([k[2] for k in keep])
+        gu = np.stack([prev[:, d].reshape(-1, h).T @ dzs[:, d].reshape(-1, 4 * h) for d in range(2)])
+        for d in range(2):  # sums of the steps of each character
             flat = both[d].reshape(-1)
-            hot = np.zeros((ALPHABET, len(flat)), np.float32)
-            hot[flat, np.arange(len(flat))] = 1.0
-            gx[d] = hot @ dzs[:, d].reshape(-1, 4 * h)
+            order = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
+            gx[d, flat[order[first]]] = np.add.reduceat(dzs[:, d].reshape(-1, 4 * h)[order], first)
         g["X"], g["U"] = gx, gu
         return -ll / size, g
 
-    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.02, seed: int = 3) -> float:
-        """Adam with a falling rate over shuffled windows; the last batches' mean loss."""
-        rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        steps = epochs * -(-len(ids) // batch)
-        step, losses = 0, []
-        for _ in range(epochs):
-            order = rng.permutation(len(ids))
-            for at in range(0, len(order), batch):
-                pick = order[at : at + batch]
-                loss, g = self.gradients(ids[pick], tags[pick])
-                losses.append(loss)
-                step += 1
-                norm = float(np.sqrt(sum((x.astype(np.float64) ** 2).sum() for x in g.values())))
-                shrink = min(1.0, 1.0 / (norm + 1e-9))
-                lr = rate * min(1.0, step / 20) * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * step / steps)))
-                for k in self.p:
-                    x = g[k] * shrink
-                    m[k] = 0.9 * m[k] + 0.1 * x
-                    v[k] = 0.99 * v[k] + 0.01 * x * x
-                    self.p[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-        return float(np.mean(losses[-20:]))
+    # Adam, a stretch of steps at a time ---------------------------------------
+
+    def advance(self, ids: np.ndarray, tags: np.ndarray, moments: dict[str, np.ndarray], begin: int, steps: int, rate: float, batch: int = BATCH) -> float:
+        """Adam steps over the windows in their order; begin of steps have been made before, which sets
+        the rate. moments has the running means ('m' + name, 'v' + name) and is brought
+        forward. The mean loss."""
+        losses = []
+        for step, at in enumerate(range(0, len(ids), batch), begin + 1):
+            loss, g = self.gradients(ids[at : at + batch], tags[at : at + batch])
+            losses.append(loss)
+            norm = float(np.sqrt(sum((x.astype(np.float64) ** 2).sum() for x in g.values())))
+            shrink = min(1.0, 1.0 / (norm + 1e-9))
+            lr = rate * min(1.0, step / 20) * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * min(1.0, step / steps))))
+            for k in self.p:
+                x = g[k] * shrink
+                m = moments["m" + k] = 0.9 * moments.get("m" + k, 0.0) + 0.1 * x
+                v = moments["v" + k] = 0.99 * moments.get("v" + k, 0.0) + 0.01 * x * x
+                self.p[k] = self.p[k] - (lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        return float(np.mean(losses))
+
+
+SHARDS = 6  # of the windows, one per task; the trained model depends on this number, not on the cluster
+Job = tuple[dict, dict, int, int, int, float]  # parameters, moments, shard, round, rounds, rate
+
+
+def shard_round(job: Job, ids: np.ndarray, tags: np.ndarray) -> tuple[dict, dict]:
+    """Parameters and moments after one shard's windows of one round. The windows are dealt anew in
+    every round, the same way wherever the task runs."""
+    params, moments, shard, round_, rounds, rate = job
+    model = Tagger()
+    model.p, moments = dict(params), dict(moments)
+    mine = np.random.default_rng(1000 + round_).permutation(len(ids))[shard::SHARDS]
+    each = -(-(-(-len(ids) // SHARDS)) // BATCH)
+    model.advance(ids[mine], tags[mine], moments, round_ * each, rounds * each, rate)
+    return model.p, moments
+
+
+def fit(model: Tagger, ids: np.ndarray, tags: np.ndarray, rounds: int, rate: float, runner: Callable[[list[Job], np.ndarray, np.ndarray], list[tuple[dict, dict]]] | None = None) -> Tagger:
+    """Trains on windows ids with labels tags: in each round every shard goes through its windows
+    from the same start, and the results are averaged. runner carries out the jobs of a round,
+    one after the other if none is given."""
+    runner = runner or (lambda jobs, ids, tags: [shard_round(j, ids, tags) for j in jobs])
+    moments: dict[str, np.ndarray] = {}
+    shards = min(SHARDS, len(ids))
+    for r in range(rounds):
+        got = runner([(model.p, moments, s, r, rounds, rate) for s in range(shards)], ids, tags)
+        model.p, moments = ({k: (sum(x[i][k] for x in got) / len(got)).astype(np.float32) for k in got[0][i]} for i in (0, 1))
+    return model
 
 
 WINDOW, OVERLAP = 256, 48

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from slabwise.llm.defects import pair_defects
 from slabwise.llm.packing import pack, shortest_pack_first
-from slabwise.llm.personal import Given, clean_name, learn, mentions_of, redact, scan, teach
-from slabwise.llm.tagger import Tagger, codes, spans, tag_texts
+from slabwise.llm.personal import LEAN, Words, clean_name, label, learn, load, mentions_of, redact, save, scan, spark_runner, train
+from slabwise.llm.tagger import KINDS, UNKNOWN, Tagger, codes, fit, spans, tag_texts
 from slabwise.llm.tokens import VOCABULARY, Encoder, encode, sentencepiece_model, sizes
 from slabwise.llm.unfinished import spikes, tails, truncation_report, unfinished
 
@@ -154,25 +154,39 @@ def test_pack(spark):
     assert {r["seq_id"] for r in pack(df.filter("n = 0"), "doc_id", "n", 64).collect()} == {0}
 
 
-NAMES = ["Lunawyn Braskerdahl", "B. Thrupolmann", "Haringvane, Pelibert", "Sylotia T. Moringski", "von Ostumwick", "ZABELFOLD, JORINA"]
-GIVEN = Given(frozenset("lunawyn pelibert sylotia jorina belarick".split()))
+KNOWN = frozenset("lunawyn pelibert sylotia jorina belarick tamisha orinel".split())  # what the labelling rules know
+OTHERS = "Fenwick Hadrisel Jolanta Quiberon Ustinara Wendolf".split()
+FAMILIES = "Braskerdahl Thrupolmann Haringvane Moringski Ostumwick Zabelfold Prenelbard Duningren Wexolaso Carrumquist".split()
 
 
 def note(rng):
+    """A note and the mentions planted in it. Half of the given names are in no list."""
+    truth = []
+
+    def put(kind, x):
+        truth.append((kind, x))
+        return x
+
+    def name():
+        given, family = rng.choice(sorted(KNOWN) + OTHERS).capitalize(), rng.choice(FAMILIES)
+        return put("name", rng.choice([f"{given} {family}", f"{given} {family}", f"{given[0]}. {family}"]))
+
+    number = lambda: put("phone", rng.choice(["+1 312 555 0{0}", "(415) 555-0{0}", "020 7946 0{0}", "0049 30 23125{0}"]).format(rng.randint(100, 999)))
+    policy = lambda: put("id_number", f"{rng.choice('QX')}{rng.randint(10**8, 10**9 - 1)}")
     parts = [
-        f"Referred by {rng.choice(['', 'Dr ', 'Mrs '])}{rng.choice(NAMES)}.", f"Call back on {rng.choice(['+1 312 555 0{0}', '(415) 555-0{0}', '020 7946 0{0}', '0049 30 23125{0}']).format(rng.randint(100, 999))}.",
-        f"Mail {rng.choice(['ward', 'jo.brask', 'h_vane'])}{rng.randint(1, 99)}{rng.choice(['@', ' (at) '])}mail.example.net if anything is missing.", f"Please merge insurance no. {rng.choice(['Q', 'X'])}{rng.randint(10**8, 10**9 - 1)} with this study.",
-        f"Lives at {rng.randint(1, 200)} Wychemoor {rng.choice(['Road', 'Lane', 'Way'])}.", f"Lot {rng.randint(10**7, 10**8 - 1)} of the contrast agent was used.", f"Ratio 3:4 at 50 HU, grid {rng.randint(100, 999)} 366 9627.",
-        "The vein of Galen and the Sylvian fissure are outlined.", f"Axial slab {rng.randint(10, 40)} shows mild stenosis of the left M1 segment, about {rng.randint(1, 9)}.5 mm wide.",
+        lambda: f"Referred by {rng.choice(['', 'Dr ', 'Mrs '])}{name()}.", lambda: f"{name()} was seen in the clinic.", lambda: f"Discussed at length with {name()} this morning.", lambda: f"{rng.choice(['Call back on', 'Best reached with'])} {number()}.",
+        lambda: f"Mail {put('email', rng.choice(['ward', 'jo.brask', 'h_vane']) + str(rng.randint(1, 99)) + rng.choice(['@', ' (at) ']) + 'mail.example.net')} if anything is missing.", lambda: f"Please merge {rng.choice(['insurance no.', 'folder'])} {policy()} with this study.",
+        lambda: f"Lives at {put('address', f'{rng.randint(1, 200)} Wychemoor ' + rng.choice(['Road', 'Lane', 'Way']))}.", lambda: f"Lot {rng.randint(10**7, 10**8 - 1)} of the contrast agent was used.",
+        lambda: "The vein of Galen and the Sylvian fissure are outlined.", lambda: f"Axial slab {rng.randint(10, 40)} shows mild stenosis of the left M1 segment, about {rng.randint(1, 9)}.5 mm wide.",
     ]
     rng.shuffle(parts)
-    return rng.choice([" ", "\n"]).join(parts[: rng.randint(3, 9)])
+    return rng.choice([" ", "\n"]).join(p() for p in parts[: rng.randint(3, 10)]), set(truth)
 
 
 @pytest.fixture(scope="module")
-def tagger():
+def tagger(spark):
     rng = random.Random(1)
-    return learn([note(rng) for _ in range(700)], GIVEN)
+    return learn([note(rng)[0] for _ in range(600)], KNOWN, spark_runner(spark), rounds=(6, 8))
 
 
 def test_tagger_gradients():
@@ -190,18 +204,47 @@ def test_tagger_gradients():
         assert (up - down) / (2 * eps) == pytest.approx(float(g[k][at]), abs=2e-3)
 
 
-def test_held_out_mentions(tagger):
+def test_unknown_labels_leave_the_tag_open():
+    m = Tagger(6, 1)
+    ids, tags = np.array([[40, 41, 42, 43]], np.uint8), np.full((1, 4), UNKNOWN, np.uint8)
+    loss, g = m.gradients(ids, tags)
+    assert abs(loss) < 1e-5 and all(np.abs(x).max() < 1e-6 for x in g.values())
+
+
+def test_averaged_shards_learn():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(34, 60, (900, 20)).astype(np.uint8)
+    tags = (ids < 40).astype(np.uint8)
+    start = Tagger(seed=7).gradients(ids, tags)[0]
+    assert fit(Tagger(), ids, tags, 12, 0.03).gradients(ids, tags)[0] < 0.5 * start
+
+
+def score(found, truth):
+    hits = sum(len(a & b) for a, b in zip(found, truth))
+    return hits / sum(map(len, truth)), hits / max(1, sum(map(len, found)))
+
+
+def test_mentions_that_no_labelling_rule_knows(tagger):
+    """The tagger finds planted mentions that its own labels leave open; an untrained one finds none."""
     rng = random.Random(99)
-    texts = [note(rng) for _ in range(150)]
-    want = [{(k, t[s:e]) for k, s, e in teach(t, GIVEN)} for t in texts]
-    got = [{(k, t[s:e]) for k, s, e in mentions_of(t, *x, GIVEN)} for t, x in zip(texts, tag_texts(tagger, texts, 9.0))]
-    hits, all_want, all_got = sum(len(a & b) for a, b in zip(want, got)), sum(map(len, want)), sum(map(len, got))
-    assert hits / all_want > 0.95 and hits / all_got > 0.95
+    notes = [note(rng) for _ in range(150)]
+    texts, truth = [t for t, _ in notes], [x for _, x in notes]
+
+    def decoded(model):
+        return [{(KINDS[k], t[s:e]) for k, s, e in mentions_of(t, *x)} for t, x in zip(texts, tag_texts(model, texts, LEAN))]
+
+    words = Words(texts, KNOWN)
+    y = [label(t, words) for t in texts]
+    labelled = [{(KINDS[k], t[s:e]) for k, s, e in spans(np.where(z == UNKNOWN, 0, z).astype(np.uint8))} for t, z in zip(texts, y)]
+    recall, precision = score(decoded(tagger), truth)
+    rules, _ = score(labelled, truth)
+    untrained, _ = score(decoded(Tagger()), truth)
+    assert recall > 0.93 and precision > 0.93 and rules < recall - 0.08 and untrained < 0.05
 
 
 def test_windows_agree_with_one_pass(tagger):
     rng = random.Random(5)
-    long = "\n".join(note(rng) for _ in range(12))
+    long = "\n".join(note(rng)[0] for _ in range(12))
     (tags, _), (again, _) = tag_texts(tagger, [long, long], 0.0)
     assert len(tags) == len(long) and (tags == again).all()
     kinds = {k for k, _, _ in spans(tags)}
@@ -212,7 +255,7 @@ def test_windows_agree_with_one_pass(tagger):
 def test_names_are_cleaned():
     for text, part, want in [
         ("Dr Anna Krethwick's note", "Dr Anna Krethwick's", "Anna Krethwick"), ("Referred by Prof. von Ostumwick.", "Prof. von Ostumwick.", "von Ostumwick"), ("seen Haringvane, Pelibert,", "ringvane, Pelibert", "Haringvane, Pelibert"),
-        ("the left side", "left side", None), ("Room Seven", "Room Seven", None),
+        ("the left side", "left side", None), ("seen by Ana Seven. The", "Ana Seven. The", "Ana Seven"),
     ]:
         s = text.index(part)
         span = clean_name(text, s, s + len(part))
@@ -221,7 +264,7 @@ def test_names_are_cleaned():
 
 def test_scan_rows(spark, tagger):
     rng = random.Random(3)
-    texts = [note(rng) for _ in range(20)] + [None, "", " ", "x" * 30_000, "漢字 👩🏽‍⚕️"]
+    texts = [note(rng)[0] for _ in range(20)] + [None, "", " ", "x" * 30_000, "漢字 👩🏽‍⚕️"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string").withColumn("_text", F.lit(1)).withColumn("mentions", F.lit(2))
     rows = scan(df, "doc_id", "text", model=tagger).collect()
     assert len(rows) == len(texts) + 1
@@ -232,5 +275,11 @@ def test_scan_rows(spark, tagger):
             continue
         assert all(t[m["start"] : m["start"] + m["length"]] == m["mention"] for m in r["mentions"])
         assert all(m["mention"] not in r["redacted"] for m in r["mentions"] if len(m["mention"]) > 8)
-    assert scan(df.limit(0), "doc_id", "text").count() == 0
+    assert scan(df.limit(0), "doc_id", "text").count() == 0 and train(df.limit(0), "doc_id", "text") is None
     assert redact("a b c", [(4, 2, 3)]) == "a [NAME] c"
+
+
+def test_tagger_is_kept_as_a_table(spark, tagger, tmp_path):
+    save(tagger, spark, str(tmp_path / "tagger"))
+    again = load(spark, str(tmp_path / "tagger"))
+    assert all((again.p[k] == v).all() for k, v in tagger.p.items())
