@@ -3,7 +3,7 @@ word hashing over Arrow string buffers."""
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import uuid
 
@@ -21,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's shared folder (spark.checkpoint.dir); only a session that names
-    none, as in tests, gets a folder of its own."""
+    """Uses the cluster's shared folder (spark.checkpoint.dir). Only a local session, as in tests,
+    may name none and gets a folder of its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="slabwise_ckpt_"))
 
 
@@ -165,6 +167,12 @@ def unique_sets(values: np.ndarray, text: np.ndarray, n_texts: int) -> tuple[np.
     return key & _M((1 << HASH_BITS) - 1), t, np.bincount(t, minlength=n_texts)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs now, not at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared checkpoint folder, which cuts the lineage and
     survives lost executors; the folder is removed when the application ends."""

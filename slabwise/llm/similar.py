@@ -14,13 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType
 
-from slabwise.llm.common import MIN_WORDS, TEXTS, mix64, partitions, runs, unique_sets, word_hashes, written
+from slabwise.llm.common import MIN_WORDS, TEXTS, mix64, partitions, release, runs, unique_sets, word_hashes, written
 
 U = np.uint64
-BINS = 24  # of a sketch, a byte each
-SCREEN = 0.4  # times the threshold: share of equal bins that a candidate must reach
+SLOTS = 48  # of a sketch: four bits of a SuperMinHash slot each
+BINS = SLOTS // 2  # bytes of a sketch
+ITEM = 5  # bytes by which a text is known in the shuffle
+GROUP_BYTES = 64 << 20  # of packed keys that one task gathers
 HOT = 512  # texts that share a key: beyond that they are compared in blocks, never paired
 BITMAP_BITS = 1 << 23  # of the filter over the texts that are compared exactly: 1 MB
 
@@ -44,18 +46,29 @@ class Texts:
             self.lo[self.which] = np.add.reduceat(x, self.first)
             self.hi[self.which] = np.add.reduceat(mix64(x), self.first)
         self.lo, self.hi = mix64(self.lo + self.salt), mix64(self.hi ^ self.salt)
-        self.item = self.lo >> U(33)  # 31 bits
+        self.item = self.lo >> U(64 - 8 * ITEM)
 
-    def sketches(self) -> np.ndarray:
-        """BINS bytes per text: one-permutation MinHash, 0 for an empty bin."""
-        x = mix64(self.v * U(0x9E3779B1) + U(77))
-        out = np.full(self.size * BINS, 0xFFFFFFFF, np.uint32)
-        at = self.t * BINS + (x & U(0xFFFF)).astype(np.int64) * BINS // 65536
-        np.minimum.at(out, at, (x >> U(33)).astype(np.uint32))
-        return np.where(out == 0xFFFFFFFF, 0, out % 255 + 1).astype(np.uint8).reshape(self.size, BINS)
+    def sketches(self, sig: np.ndarray | None = None) -> np.ndarray:
+        """BINS bytes per text of x.which: four bits of each of the first SLOTS slots of a signature."""
+        sig = superminhash(self, 53) if sig is None else sig
+        v = (mix64(sig[:, :SLOTS].astype(U) + U(0x77)) >> U(60)).astype(np.uint8)
+        return v[:, ::2] << 4 | v[:, 1::2]
 
 
-def superminhash(x: Texts, slots: int) -> np.ndarray:
+def screen(least: float) -> int:
+    """Equal slots of two sketches that a pair must reach: five standard deviations below what
+    a pair of likeness `least` has, so that fewer than one in a million is lost here."""
+    p = least + (1 - least) / 16
+    return max(0, int(np.floor(SLOTS * p - 5 * np.sqrt(SLOTS * p * (1 - p)))))
+
+
+def equal_slots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of equal slots of sketches, over the last axis."""
+    d = x ^ y
+    return ((d & 15) == 0).sum(-1) + (d < 16).sum(-1)
+
+
+def superminhash(x: Texts, slots: int, seed: int = 0) -> np.ndarray:
     """SuperMinHash signatures (texts x slots, uint32) of the texts x.which.
 
     Every element ranks the slots by a permutation of its own (an arithmetic progression modulo
@@ -70,13 +83,13 @@ def superminhash(x: Texts, slots: int) -> np.ndarray:
     if not texts:
         return sig
     flat = sig.reshape(-1)
-    h = mix64(x.v + U(0xABCDEF))
+    h = mix64(x.v + U(0xABCDEF + 0x1000003 * seed))
     at = ((h & U(0xFFFFFF)) * U(slots) >> U(24)).astype(np.int32)
     step = (((h >> U(24)) & U(0xFFFFFF)) * U(slots - 1) >> U(24)).astype(np.int32) + np.int32(1)
     base = (np.cumsum(x.n > 0) - 1)[x.t].astype(np.int32) * np.int32(slots)
-    seed = mix64(h)
+    draw = mix64(h)
     for j in range(slots):
-        r = ((seed * U(2 * j + 0x9E3779B97F4A7C15)) >> U(41)).astype(np.uint32) | np.uint32(j << 23)
+        r = ((draw * U(2 * j + 0x9E3779B97F4A7C15)) >> U(41)).astype(np.uint32) | np.uint32(j << 23)
         np.minimum.at(flat, base + at, r)
         at += step
         at[at >= slots] -= np.int32(slots)
@@ -86,21 +99,23 @@ def superminhash(x: Texts, slots: int) -> np.ndarray:
                 break
             live = open_[base // slots]
             if live.mean() < 0.7:
-                at, step, base, seed = at[live], step[live], base[live], seed[live]
+                at, step, base, draw = at[live], step[live], base[live], draw[live]
     return sig
 
 
-def bands(n_bands: int, rows: int, prime: int) -> Callable[[Texts], tuple[np.ndarray, np.ndarray]]:
-    """Keys: n_bands hashes of `rows` signature slots each."""
+def bands(n_bands: int, rows: int, prime: int, seed: int = 0) -> Callable[[Texts], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys: n_bands hashes of `rows` signature slots each; and the signatures. Another seed gives other
+    permutations."""
 
-    def keys(x: Texts) -> tuple[np.ndarray, np.ndarray]:
-        sig = superminhash(x, prime)[:, : n_bands * rows].reshape(-1, n_bands, rows)
+    def keys(x: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        all_ = superminhash(x, prime, seed)
+        sig = all_[:, : n_bands * rows].reshape(-1, n_bands, rows)
         h = np.zeros(sig.shape[:2], U)
         for k in range(rows):
             h = (h ^ sig[:, :, k]) * U(0x9E3779B97F4A7C15)
             h ^= h >> U(29)
-        h = mix64(h + mix64(np.arange(n_bands, dtype=U) + U(3))[None, :] + x.salt[x.which][:, None])
-        return h.reshape(-1), np.repeat(x.which, n_bands)
+        h = mix64(h + mix64(np.arange(n_bands, dtype=U) + U(3 + 1000 * seed))[None, :] + x.salt[x.which][:, None])
+        return h.reshape(-1), np.repeat(x.which, n_bands), all_
 
     return keys
 
@@ -109,11 +124,46 @@ _SCAN = "part int, key binary, item binary, side binary, field binary, id binary
 _OUT = "kind int, a bigint, b bigint, side int, field int, id bigint, hi bigint, sketch binary"
 
 
-def _scan(rows: DataFrame, keys: Callable, parts: int, feature_parts: int, sided: bool) -> DataFrame:
+def n_parts(rows: DataFrame, bytes_per_byte: float) -> int:
+    """Groups of packed keys, each of about GROUP_BYTES: from the size of the input as Catalyst knows it
+    and the bytes that the keys take per byte of input; at least two per shuffle partition. Frames
+    of no known size (not read from files) get the least."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(min(200_000, max(48, 2 * partitions(rows.sparkSession), 0 if size >= 1 << 58 else size * bytes_per_byte / GROUP_BYTES)))
+
+
+def packed(items: np.ndarray) -> bytes:
+    """The low ITEM bytes of each number."""
+    return items.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ITEM].tobytes()
+
+
+def unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    raw = _joined(column, np.uint8).reshape(-1, ITEM)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :ITEM] = raw
+    return out.view("<u8").reshape(-1).astype(U)
+
+
+def _scan(rows: DataFrame, keys: Callable, parts: int, feature_parts: int) -> DataFrame:
     """rows: (field int, id bigint, side int, text string) -> packed columns by partition: keys
-    under 0..parts-1, features from `parts` on."""
+    under 0..parts-1, features (none if feature_parts is 0) from `parts` on. Keys are held back until
+    some 64 of them go to each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> list[tuple]:
+            h, item = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            held.clear()
+            part = ((h >> U(32)) * U(parts) >> U(32)).astype(np.uint32)
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            key, item = h[order].astype(np.uint32), item[order]
+            return [(int(p), key[i:j].tobytes(), packed(item[i:j]), None, None, None, None, None, None) for p in np.flatnonzero(np.diff(edges)) for i, j in [(edges[p], edges[p + 1])]]
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int32())] + [pa.array([r[k] for r in found], pa.binary()) for k in range(1, 9)], ["part", "key", "item", "side", "field", "id", "lo", "hi", "sketch"])
+
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 b = batch.slice(at, TEXTS)
@@ -121,29 +171,22 @@ def _scan(rows: DataFrame, keys: Callable, parts: int, feature_parts: int, sided
                 x = Texts(b.column(3), field)
                 if not len(x.which):
                     continue
-                h, t = keys(x)
-                twin = x.lo ^ (side.astype(U) * U(0x9E3779B97F4A7C15))
+                h, t, sig = keys(x)
                 first = np.zeros(x.size, bool)
-                order = np.argsort(twin[x.which], kind="stable")
-                mine = twin[x.which][order]
+                order = np.argsort(x.lo[x.which], kind="stable")
+                mine = x.lo[x.which][order]
                 first[x.which[order[np.r_[True, mine[1:] != mine[:-1]]]]] = True
                 if not first[t].all():  # of copies in one step, one speaks for all
                     h, t = h[first[t]], t[first[t]]
-                part = ((h >> U(32)) * U(parts) >> U(32)).astype(np.uint16)
-                order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(parts + 1))
-                key, item = h[order].astype(np.uint32), x.item[t[order]].astype(np.uint32)
-                sides = side[t[order]].astype(np.uint8) if sided else np.empty(0, np.uint8)
-                out = []
-                for p in np.flatnonzero(np.diff(edges)):
-                    i, j = edges[p], edges[p + 1]
-                    out.append((p, key[i:j].tobytes(), item[i:j].tobytes(), sides[i:j].tobytes() if sided else None, None, None, None, None, None))
-                w, sk = x.which, x.sketches()
-                for p in range(feature_parts):
-                    g = w[x.item[w] % U(feature_parts) == p]
-                    if len(g):
-                        out.append((parts + p, None, x.item[g].tobytes(), side[g].astype(np.uint8).tobytes(), field[g].astype(np.uint8).tobytes(), ids[g].astype(np.int64).tobytes(), x.lo[g].tobytes(), x.hi[g].tobytes(), sk[g].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32())] + [pa.array([r[k] for r in out], pa.binary()) for k in range(1, 9)], ["part", "key", "item", "side", "field", "id", "lo", "hi", "sketch"])
+                held.append((h, x.item[t]))
+                if feature_parts:
+                    w, sk = x.which, x.sketches(sig)
+                    group = (x.item[w] % U(feature_parts)).astype(np.int64)
+                    yield out([(parts + int(p), None, packed(x.item[w[g]]), side[w[g]].astype(np.uint8).tobytes(), field[w[g]].astype(np.uint8).tobytes(), ids[w[g]].astype(np.int64).tobytes(), x.lo[w[g]].tobytes(), x.hi[w[g]].tobytes(), sk[g].tobytes()) for p in np.unique(group) for g in [np.flatnonzero(group == p)]])
+                if sum(len(k[0]) for k in held) >= min(64 * parts, 4 << 20):
+                    yield out(flush())
+        if held:
+            yield out(flush())
 
     return rows.mapInArrow(run, _SCAN)
 
@@ -160,23 +203,22 @@ def _unique(x: np.ndarray) -> np.ndarray:
     return x[keep]
 
 
-def _same_key(key: np.ndarray, item: np.ndarray, side: np.ndarray | None, hot: int) -> tuple[np.ndarray, ...]:
-    """Unique pairs (a, b) of different items with the same key, and the rows (key, item, side) of keys
-    that more than `hot` items share, which are left unpaired; side: 0 meets 1 only. Copies of
-    a text are one item, so they are dropped first, however many there are."""
-    both = (key.astype(U) << U(32)) | (item.astype(U) << U(1))
-    if side is not None:
-        both |= side.astype(U)
-    both = _unique(both)
+def _same_key(key: np.ndarray, item: np.ndarray, hot: int) -> tuple[np.ndarray, ...]:
+    """Unique pairs (a, b) of different items with the same key, and the rows (key, item) of keys that
+    more than `hot` items share, which are left unpaired. Copies of a text are one item, so
+    they are dropped first, however many there are."""
+    items, small = np.unique(item, return_inverse=True)
+    both = _unique((key.astype(U) << U(32)) | small.astype(U))
     starts = np.flatnonzero(np.r_[True, both[1:] >> U(32) != both[:-1] >> U(32)]) if len(both) else np.empty(0, np.int64)
     sizes = np.diff(np.r_[starts, len(both)])
     rest = both[:0]
     if (sizes > hot).any():
         crowded = np.repeat(sizes > hot, sizes)
         rest, both = both[crowded], both[~crowded]
-    many = ((rest >> U(32)).astype(np.int64), ((rest & U(0xFFFFFFFF)) >> U(1)).astype(np.int64), (rest & U(1)).astype(np.int32))
+    low = U(0xFFFFFFFF)
+    many = (rest >> U(32)).astype(np.int64), items[(rest & low).astype(np.int64)].astype(np.int64)
     n = len(both)
-    key, item, side = both >> U(32), (both & U(0xFFFFFFFF)) >> U(1), both & U(1) if side is not None else None
+    key, item = both >> U(32), both & low
     found: list[np.ndarray] = []
     at, d = np.arange(n), 0
     while True:
@@ -185,29 +227,25 @@ def _same_key(key: np.ndarray, item: np.ndarray, side: np.ndarray | None, hot: i
         at = at[key[at] == key[at + d]]
         if not len(at):
             break
-        hit = at[item[at] != item[at + d]]
-        if side is not None:
-            hit = hit[side[hit] != side[hit + d]]
-        found.append((np.minimum(item[hit], item[hit + d]) << U(32)) | np.maximum(item[hit], item[hit + d]))
+        found.append((item[at] << U(32)) | item[at + d])  # items ascend within a key
         if sum(map(len, found)) > 1 << 22:
             found = [_unique(np.concatenate(found))]
     pairs = _unique(np.concatenate(found)) if found else np.empty(0, U)
-    return (pairs >> U(32)).astype(np.int64), (pairs & U(0xFFFFFFFF)).astype(np.int64), *many
+    return (*(items[(x & low).astype(np.int64)].astype(np.int64) for x in (pairs >> U(32), pairs)), *many)
 
 
-def _reduce(scan: DataFrame, parts: int, sided: bool, hot: int) -> DataFrame:
+def _reduce(scan: DataFrame, parts: int, hot: int) -> DataFrame:
     names = ["kind", "a", "b", "side", "field", "id", "hi", "sketch"]
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
+        item = unpacked(table.column("item"))
         if part < parts:
-            side = _joined(table.column("side"), np.uint8) if sided else None
-            a, b, k, i, s = _same_key(_joined(table.column("key"), np.uint32), _joined(table.column("item"), np.uint32), side, hot)
+            a, b, k, i = _same_key(_joined(table.column("key"), np.uint32), item, hot)
             n = len(a) + len(k)
-            kind, sides = np.r_[np.zeros(len(a), np.int32), np.full(len(k), 2, np.int32)], np.r_[np.zeros(len(a), np.int32), s]
-            key = k | (part << 32)
-            return pa.table([pa.array(kind), pa.array(np.r_[a, key]), pa.array(np.r_[b, i]), pa.array(sides), *(pa.nulls(n, x) for x in (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
-        item, side, field = _joined(table.column("item"), U), _joined(table.column("side"), np.uint8), _joined(table.column("field"), np.uint8)
+            kind = np.r_[np.zeros(len(a), np.int32), np.full(len(k), 2, np.int32)]
+            return pa.table([pa.array(kind), pa.array(np.r_[a, k | (part << 32)]), pa.array(np.r_[b, i]), *(pa.nulls(n, x) for x in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names)
+        side, field = _joined(table.column("side"), np.uint8), _joined(table.column("field"), np.uint8)
         sketch = b"".join(table.column("sketch").to_pylist())
         sketches = pa.Array.from_buffers(pa.binary(BINS), len(item), [None, pa.py_buffer(sketch)]).cast(pa.binary())
         ids, lo, hi = (_joined(table.column(c), np.int64) for c in ("id", "lo", "hi"))
@@ -216,41 +254,55 @@ def _reduce(scan: DataFrame, parts: int, sided: bool, hot: int) -> DataFrame:
     return scan.groupBy("part").applyInArrow(run, _OUT)
 
 
-def candidates(rows: DataFrame, keys: Callable, sided: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(features, candidate pairs of items, rows (key, item) of crowded keys) of one scan over rows
-    (field, id, side, text)."""
-    parts = min(60_000, max(48, 2 * partitions(rows.sparkSession)))
-    feature_parts = max(4, parts // 12)
-    table = written(_reduce(_scan(rows, keys, parts, feature_parts, sided), parts, sided, hot))
-    features = table.filter("kind = 1").select("field", "side", "id", F.col("a").alias("item"), F.col("b").alias("lo"), "hi", "sketch")
-    return features, table.filter("kind = 0").select("a", "b").distinct(), table.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("item"))
-
-
-@F.pandas_udf(DoubleType())
+def candidates(rows: DataFrame, rounds: list[tuple[Callable, float]], hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(features, candidate pairs of items, rows (key, item) of crowded keys) of rows (field, id, side, text).
+    rounds: functions from texts to keys, and the bytes that each takes per byte of input; each is a scan
+    of its own, whose keys are gone from the disk before the next, and the first gives the features."""
+    features, pairs, many = None, None, None
+    for keys, share in rounds:
+        parts = n_parts(rows, share)
+        feature_parts = 0 if features is not None else max(4, parts // 12)
+        t = written(_reduce(_scan(rows, keys, parts, feature_parts), parts, hot))
+        if features is None:
+            features = t.filter("kind = 1").select("field", "side", "id", F.col("a").alias("item"), F.col("b").alias("lo"), "hi", "sketch")
+        p, m = t.filter("kind = 0").select("a", "b"), t.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("item"))
+        pairs, many = (p, m) if pairs is None else (pairs.unionByName(p), many.unionByName(m))
+        release(rows.sparkSession)
+    return features, pairs.distinct(), many
+
+
+@F.pandas_udf(IntegerType())
 def _agreement(a, b):  # noqa: ANN001, ANN202
-    """Share of equal bins among those that are filled on both sides."""
+    """Number of equal slots of two sketches."""
     import pandas as pd
 
     x = np.frombuffer(b"".join(a), np.uint8).reshape(-1, BINS)
     y = np.frombuffer(b"".join(b), np.uint8).reshape(-1, BINS)
-    filled = (x > 0) & (y > 0)
-    return pd.Series(((x == y) & filled).sum(1) / np.maximum(1, filled.sum(1)))
+    return pd.Series(equal_slots(x, y).astype(np.int32))
 
 
 def _crowded(many: DataFrame, classes: DataFrame, least: float, sided: bool, hot: int) -> DataFrame:
     """(field, ca, cb) of classes that share a crowded key and pass the screen.
 
     The members of a key are dealt into blocks of about `hot`, and block meets block: each pair of
-    blocks is one row, whose sketches are compared in numpy, and only what passes comes out.
-    So work spreads over tasks, and no task or shuffle ever holds all pairs of a key."""
+    blocks has a key of its own, under which the two meet, so the pairs of one crowded key
+    spread over all tasks. Their sketches are compared in numpy, and only what passes comes
+    out: no task or shuffle ever holds all pairs of a key."""
     m = many.distinct().join(classes.select("item", "field", "side", "class", "sketch"), "item").select("key", "field", "side", "class", "sketch")
     n = m.groupBy("key", "field").agg(F.ceil(F.count("*") / F.lit(hot)).alias("nb"))
     dealt = m.join(n, ["key", "field"]).withColumn("blk", F.pmod(F.xxhash64("class"), F.col("nb")))
-    blocks = dealt.groupBy("key", "field", "side", "blk").agg(F.collect_list(F.struct("class", "sketch")).alias("l"))  # about `hot` each
-    blocks = written(blocks.select("key", "field", "side", "blk", F.col("l.class").alias("c"), F.col("l.sketch").alias("s")))
-    right = blocks.select("key", "field", F.col("side").alias("side2"), F.col("blk").alias("blk2"), F.col("c").alias("c2"), F.col("s").alias("s2"))
-    met = blocks.join(right, ["key", "field"]).filter("side = 0 AND side2 = 1" if sided else "blk <= blk2").select("field", "c", "s", "c2", "s2")
-    screen = SCREEN * least
+    blocks = dealt.groupBy("key", "field", "side", "blk", "nb").agg(F.collect_list(F.struct("class", "sketch")).alias("l"))  # about `hot` each
+    blocks = written(blocks.select("key", "field", "side", "blk", "nb", F.col("l.class").alias("c"), F.col("l.sketch").alias("s")))
+    to, each = F.explode(F.sequence("blk", F.col("nb") - 1)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1))
+    every, up = F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blk")))
+    if sided:
+        left = blocks.filter("side = 0").select("key", "field", "blk", F.explode(every).alias("blk2"), "c", "s")
+        right = blocks.filter("side = 1").select("key", "field", each.alias("blk"), F.col("blk").alias("blk2"), F.col("c").alias("c2"), F.col("s").alias("s2"))
+    else:
+        left = blocks.select("key", "field", "blk", to.alias("blk2"), "c", "s")
+        right = blocks.select("key", "field", up.alias("blk"), F.col("blk").alias("blk2"), F.col("c").alias("c2"), F.col("s").alias("s2"))
+    met = left.join(right, ["key", "field", "blk", "blk2"]).select("field", "c", "s", "c2", "s2")
+    enough = screen(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,10 +311,7 @@ def _crowded(many: DataFrame, classes: DataFrame, least: float, sided: bool, hot
                 x, y = (np.frombuffer(b"".join(batch.column(i)[k].values.to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 4))
                 field = batch.column(0)[k].as_py()
                 for at in range(0, len(x), 64):
-                    a = x[at : at + 64, None]
-                    filled = (a > 0) & (y[None] > 0)
-                    share = ((a == y[None]) & filled).sum(2) / np.maximum(1, filled.sum(2))
-                    i, j = np.nonzero(share >= screen)
+                    i, j = np.nonzero(equal_slots(x[at : at + 64, None], y[None]) >= enough)
                     keep = c[at + i] != c2[j]
                     i, j = c[at + i[keep]], c2[j[keep]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), field, np.int32)), pa.array(i), pa.array(j)], ["field", "ca", "cb"])
@@ -318,12 +367,12 @@ def triple_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(ids.select("field", "id"), ["field", "id"], "left_semi")
 
 
-def similar_classes(rows: DataFrame, keys: Callable, least: float, sided: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def similar_classes(rows: DataFrame, keys: Callable | list[tuple[Callable, float]], least: float, sided: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (field, side, id, class) has every eligible text with the smallest
     id among its equals (same triple set, field and side) as its class; links (field, class_a,
     class_b, likeness) every pair of different classes of one field found with likeness >= least
     (sided: one of side 0 and one of side 1, and keys(rows, least, hot) gives what candidates
-    gives). Rows with a null in field, id, side or text and
+    gives; else keys are the rounds of candidates). Rows with a null in field, id, side or text and
     texts of fewer than 20 words are in neither; repeated rows count once."""
     rows = rows.select("field", "id", "side", "text").dropna()
     features, pairs, many = keys(rows, least, hot) if sided else candidates(rows, keys, hot=hot)
@@ -335,7 +384,7 @@ def similar_classes(rows: DataFrame, keys: Callable, least: float, sided: bool =
     a = classes.select(F.col("item").alias("a"), F.col("field").alias("fa"), F.col("side").alias("sa"), F.col("class").alias("ca"), F.col("sketch").alias("ka"))
     b = classes.select(F.col("item").alias("b"), F.col("field").alias("fb"), F.col("side").alias("sb"), F.col("class").alias("cb"), F.col("sketch").alias("kb"))
     met = pairs.join(a, "a").join(b, "b").filter("fa = fb AND (sa <> sb)" if sided else "fa = fb")
-    near = met.filter(_agreement("ka", "kb") >= SCREEN * least).select(F.col("fa").alias("field"), "ca", "cb")
+    near = met.filter(_agreement("ka", "kb") >= screen(least)).select(F.col("fa").alias("field"), "ca", "cb")
     if many.limit(1).count():
         near = near.unionByName(_crowded(many, classes, least, sided, hot))
     if sided:  # equal sets on the two sides have one item
