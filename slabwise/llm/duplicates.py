@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from slabwise.llm.similar import HOT, bands, groups, similar_classes
 
-BANDS, ROWS, SLOTS = 73, 5, 367  # of a round; SLOTS is prime and at least BANDS x ROWS
-PASSES = 2  # rounds, each with permutations of its own
+BANDS, ROWS, SLOTS = 74, 5, 373  # of a round; SLOTS is prime and at least BANDS x ROWS
+PASSES = 1  # rounds, each with permutations of its own; two meet 0.99 of all pairs of likeness 0.5
 
 
 def near_duplicates(rows: DataFrame, least: float = 0.8, n_bands: int = BANDS, band_rows: int = ROWS, slots: int = SLOTS, passes: int = PASSES, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the texts of rows (field int, id bigint, text); see similar_classes.
     Candidates come from banded SuperMinHash signatures; a pair of likeness s is met with
-    probability 1 - (1 - s^ROWS)^(BANDS x PASSES), 0.99 at 0.5, and every candidate is compared exactly."""
+    probability 1 - (1 - s^ROWS)^(BANDS x PASSES) there, or by way of a text that both are linked to; every candidate is compared exactly."""
     if n_bands * band_rows > slots:
         raise ValueError("bands x rows must not exceed the slots")
     rows = rows.select("field", "id", F.lit(0).alias("side"), "text")
-    members, links = similar_classes(rows, [(bands(n_bands, band_rows, slots, i), 3.0) for i in range(passes)], least, hot=hot)
+    members, links = similar_classes(rows, [(bands(n_bands, band_rows, slots, i), 3.0) for i in range(passes)], least, hot=hot, closed=True)
     return members.select("field", "id", "class"), links
 
 

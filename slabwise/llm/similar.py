@@ -282,13 +282,19 @@ def _agreement(a, b):  # noqa: ANN001, ANN202
 
 
 def _crowded(many: DataFrame, classes: DataFrame, least: float, sided: bool, hot: int) -> DataFrame:
-    """(field, ca, cb) of classes that share a crowded key and pass the screen.
+    """(field, ca, cb) of classes that share a crowded key and pass the screen. many: (key, item)."""
+    m = many.distinct().join(classes.select("item", "field", "side", "class", "sketch"), "item")
+    return _in_blocks(m.select("key", "field", "side", "class", "sketch"), least, sided, hot)
+
+
+def _in_blocks(m: DataFrame, least: float, sided: bool, hot: int) -> DataFrame:
+    """(field, ca, cb) of classes of one field that share a key and pass the screen, whatever the number
+    that shares it. m: (key, field, side, class, sketch).
 
     The members of a key are dealt into blocks of about `hot`, and block meets block: each pair of
     blocks has a key of its own, under which the two meet, so the pairs of one crowded key
     spread over all tasks. Their sketches are compared in numpy, and only what passes comes
     out: no task or shuffle ever holds all pairs of a key."""
-    m = many.distinct().join(classes.select("item", "field", "side", "class", "sketch"), "item").select("key", "field", "side", "class", "sketch")
     n = m.groupBy("key", "field").agg(F.ceil(F.count("*") / F.lit(hot)).alias("nb"))
     dealt = m.join(n, ["key", "field"]).withColumn("blk", F.pmod(F.xxhash64("class"), F.col("nb")))
     blocks = dealt.groupBy("key", "field", "side", "blk", "nb").agg(F.collect_list(F.struct("class", "sketch")).alias("l"))  # about `hot` each
@@ -367,7 +373,7 @@ def triple_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(ids.select("field", "id"), ["field", "id"], "left_semi")
 
 
-def similar_classes(rows: DataFrame, keys: Callable | list[tuple[Callable, float]], least: float, sided: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def similar_classes(rows: DataFrame, keys: Callable | list[tuple[Callable, float]], least: float, sided: bool = False, hot: int = HOT, closed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (field, side, id, class) has every eligible text with the smallest
     id among its equals (same triple set, field and side) as its class; links (field, class_a,
     class_b, likeness) every pair of different classes of one field found with likeness >= least
@@ -392,12 +398,28 @@ def similar_classes(rows: DataFrame, keys: Callable | list[tuple[Callable, float
         near = near.unionByName(same.filter("ca IS NOT NULL AND cb IS NOT NULL").select("field", "ca", "cb"))
     near = written(near.select("field", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct())
 
+    links = verified(rows, near, least)
+    if closed:  # texts that are linked to the same text are candidates too
+        links = written(links)
+        ends = links.select("field", F.col("class_a").alias("key"), F.col("class_b").alias("class")).unionByName(links.select("field", F.col("class_b").alias("key"), F.col("class_a").alias("class")))
+        shared = ends.groupBy("field", "key").agg(F.count("*").alias("n")).filter("n > 1")
+        m = ends.join(shared.select("field", "key"), ["field", "key"], "left_semi").join(classes.select("field", "class", "side", "sketch"), ["field", "class"])
+        more = _in_blocks(m.select("key", "field", "side", "class", "sketch"), least, False, hot).select("field", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).distinct()
+        more = written(more.join(near, ["field", "ca", "cb"], "left_anti"))
+        links = links.unionByName(verified(rows, more, least))
+    return members, links
+
+
+def verified(rows: DataFrame, near: DataFrame, least: float) -> DataFrame:
+    """(field, class_a, class_b, likeness) of the candidates (field, ca, cb) whose exact likeness is at
+    least `least`. AQE splits the partition of a text that
+    has many candidates."""
     ids = near.select("field", F.explode(F.array("ca", "cb")).alias("id")).distinct()
     sets = triple_sets(rows, ids).dropDuplicates(["field", "id"])
     left = sets.select("field", F.col("id").alias("ca"), F.col("triples").alias("ta"))
     right = sets.select("field", F.col("id").alias("cb"), F.col("triples").alias("tb"))
-    links = near.join(left, ["field", "ca"]).join(right, ["field", "cb"]).withColumn("likeness", _jaccard("ta", "tb")).filter(F.col("likeness") >= least)
-    return members, links.select("field", F.col("ca").alias("class_a"), F.col("cb").alias("class_b"), "likeness")
+    out = near.join(left, ["field", "ca"]).join(right, ["field", "cb"]).withColumn("likeness", _jaccard("ta", "tb")).filter(F.col("likeness") >= least)
+    return out.select("field", F.col("ca").alias("class_a"), F.col("cb").alias("class_b"), "likeness")
 
 
 def groups(links: DataFrame, a: str, b: str) -> DataFrame:
