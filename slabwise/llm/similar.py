@@ -56,10 +56,10 @@ class Texts:
 
 
 def screen(least: float) -> int:
-    """Equal slots of two sketches that a pair must reach: five standard deviations below what
-    a pair of likeness `least` has, so that fewer than one in a million is lost here."""
+    """Equal slots of two sketches that a pair must reach: 3.7 standard deviations below what
+    a pair of likeness `least` has; at 0.5 a pair is lost here with a probability of 3 in 100,000."""
     p = least + (1 - least) / 16
-    return max(0, int(np.floor(SLOTS * p - 5 * np.sqrt(SLOTS * p * (1 - p)))))
+    return max(0, int(np.floor(SLOTS * p - 3.7 * np.sqrt(SLOTS * p * (1 - p)))))
 
 
 def equal_slots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
