@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from slabwise.functions.vocab import BLANK
 
@@ -74,35 +76,42 @@ def rouge_l(reference: Column | str, hypothesis: Column | str) -> Column:
     return F.when(F.size(r) > 0, lcs_length(r, col(hypothesis)) / F.size(r)).otherwise(F.lit(0.0))
 
 
-def _tagged(n: int, side: int):  # noqa: ANN202
-    return lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("g"))
+@F.pandas_udf(ArrayType(LongType()))
+def clipped_matches(reference, hypothesis, max_n):  # noqa: ANN001, ANN201
+    """For n = 1..max_n the n-grams of the hypothesis that the reference holds too, each at most as often
+    as there: row-local counting in Arrow batches, where exploding would shuffle every n-gram."""
+    import pandas as pd
+
+    out = []
+    for r, h, top in zip(reference, hypothesis, max_n):
+        r, h = list(r if r is not None else ()), list(h if h is not None else ())
+        found = []
+        for n in range(1, int(top) + 1):
+            there = Counter(zip(*(r[i:] for i in range(n))))
+            found.append(sum(min(c, there[g]) for g, c in Counter(zip(*(h[i:] for i in range(n)))).items()) if there else 0)
+        out.append(found)
+    return pd.Series(out)
 
 
 def bleu(df: DataFrame, key: str, reference: str, hypothesis: str, max_n: int = 4) -> DataFrame:
-    """(key, bleu_1..bleu_n, bleu) of rows with unique keys and two token-array columns.
-
-    Clipped n-gram counts come from one aggregation over exploded n-grams. Rows are spread by
-    key once and both aggregations run on that partitioning, so there is a single shuffle."""
-    base = df.select(key, F.col(reference).alias("_r"), F.col(hypothesis).alias("_h")).repartition(F.col(key))
-    grams = [
-        F.transform(ngrams(c, n), _tagged(n, side))
-        for n in range(1, max_n + 1)
-        for c, side in (("_r", 0), ("_h", 1))
-    ]
-    flat = base.select(key, F.explode(F.concat(*grams)).alias("x")).select(key, "x.*")
-    counts = flat.groupBy(key, "n", "g").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("h"))
-    per_n = counts.groupBy(key, "n").agg(F.sum(F.least("r", "h")).alias("m"), F.sum("h").alias("t"))
-    p = per_n.groupBy(key).agg(*[F.sum(F.when(F.col("n") == n, F.col("m") / F.greatest("t", F.lit(1)))).alias(f"bleu_{n}") for n in range(1, max_n + 1)])
-    sized = base.select(key, F.size("_r").alias("_lr"), F.size("_h").alias("_lh"))
-    out = sized.join(p, key, "left")
-    out = out.select(key, "_lr", "_lh", *[F.coalesce(f"bleu_{n}", F.lit(0.0)).alias(f"bleu_{n}") for n in range(1, max_n + 1)])
-    each = [F.col(f"bleu_{n}") for n in range(1, max_n + 1)]
-    positive = F.least(*each) > 0 if max_n > 1 else each[0] > 0
+    """(key, bleu_1..bleu_n, bleu) of rows with two token-array columns, one for every row, whatever its
+    key. Clipped counts are taken within the row, so nothing is shuffled."""
+    base = df.select(key, F.size(reference).alias("_lr"), F.size(hypothesis).alias("_lh"), clipped_matches(reference, hypothesis, F.lit(max_n)).alias("_m"))
+    parts = bleu_parts("_m", "_lr", "_lh", max_n)
+    return base.select(key, *[v.alias(k) for k, v in parts.items()])
+
+
+def bleu_parts(matches: Column | str, n_reference: Column | str, n_hypothesis: Column | str, max_n: int = 4) -> dict[str, Column]:
+    """bleu_1..bleu_n and bleu of clipped match counts and the two numbers of tokens."""
+    m, lr, lh = col(matches), col(n_reference), col(n_hypothesis)
+    each = {f"bleu_{n}": F.get(m, F.lit(n - 1)) / F.greatest(lh - (n - 1), F.lit(1)) for n in range(1, max_n + 1)}
+    names = list(each.values())
+    positive = F.least(*names) > 0 if max_n > 1 else names[0] > 0
     logs = F.lit(0.0)
-    for x in each:
+    for x in names:
         logs = logs + F.ln(F.when(x > 0, x))
-    brevity = F.when(F.col("_lh") > F.col("_lr"), F.lit(1.0)).otherwise(F.exp(1 - F.col("_lr") / F.greatest("_lh", F.lit(1))))
-    return out.select(key, *[f"bleu_{n}" for n in range(1, max_n + 1)], F.when(positive, brevity * F.exp(logs / max_n)).otherwise(F.lit(0.0)).alias("bleu"))
+    brevity = F.when(lh > lr, F.lit(1.0)).otherwise(F.exp(1 - lr / F.greatest(lh, F.lit(1))))
+    return each | {"bleu": F.when(positive, brevity * F.exp(logs / max_n)).otherwise(F.lit(0.0))}
 
 
 def ngram_counts(df: DataFrame, text: str, n: int) -> DataFrame:

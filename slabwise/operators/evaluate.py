@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slabwise.functions import scoring as S
-from slabwise.functions.text import bleu, rouge_l, rouge_n, tokens
+from slabwise.functions.text import bleu_parts, clipped_matches, rouge_l, rouge_n, tokens
 from slabwise.functions.vocab import RUBRIC_WEIGHTS
 from slabwise.operators.preference import last_by
 
@@ -23,15 +23,16 @@ def flat_metrics(df: DataFrame, key: str, prediction: str, reference: str) -> Da
     """(key, the 11 metrics as doubles) of each row. Tokens are cut once and used by all metrics."""
     d = df.select(key, F.col(prediction).alias("_p"), F.coalesce(F.col(reference), F.lit("")).alias("_r"))
     d = d.withColumn("_pt", tokens("_p")).withColumn("_rt", tokens("_r"))
-    b = bleu(d, key, "_rt", "_pt").select(key, "bleu")
+    d = d.withColumn("_m", clipped_matches("_rt", "_pt", F.lit(4)))
+    b = bleu_parts("_m", F.size("_rt"), F.size("_pt"))["bleu"]
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     m = d.select(
-        key, rouge_n("_rt", "_pt", 1).alias("rouge_1"), rouge_n("_rt", "_pt", 2).alias("rouge_2"), rouge_l("_rt", "_pt").alias("rouge_l"), S.structure_score("_p").alias("structure_score"),
+        key, b.alias("bleu"), rouge_n("_rt", "_pt", 1).alias("rouge_1"), rouge_n("_rt", "_pt", 2).alias("rouge_2"), rouge_l("_rt", "_pt").alias("rouge_l"), S.structure_score("_p").alias("structure_score"),
         flag(S.has_impression("_p")).alias("has_impression"), flag(S.has_vascular("_p")).alias("has_vascular"),
         S.hallucination_score("_p", "_r").alias("hallucination_score"), S.consistency_score("_p").alias("consistency_score"), S.uncertainty_score("_p").alias("uncertainty_score"),
     )
     parts = [F.col(f"{k}_score") * w for k, w in RUBRIC_WEIGHTS.items()]
-    return b.join(m.withColumn("clinical_score", parts[0] + parts[1] + parts[2]), key).select(key, *METRICS)
+    return m.withColumn("clinical_score", parts[0] + parts[1] + parts[2]).select(key, *METRICS)
 
 
 def aggregate(df: DataFrame, metrics: list[str]) -> DataFrame:
@@ -59,5 +60,17 @@ def report(aggregated: DataFrame, settings: dict[str, str]) -> DataFrame:
 
 
 def summary(aggregated: DataFrame) -> DataFrame:
-    """(line): 'metric: mean, std' to four places, for printing."""
-    return aggregated.select(F.format_string("%s: %.4f, %.4f", "metric", "mean", "std").alias("line"))
+    """(line) per metric for printing: its name, mean and deviation to four places."""
+    return aggregated.select(F.format_string("%-20s: mean=%.4f, std=%.4f", "metric", "mean", "std").alias("line"))
+
+
+def per_case(df: DataFrame, metrics: DataFrame, key: str, carried: list[str]) -> DataFrame:
+    """(key, carried columns, metrics struct): the evaluation of every case beside its texts."""
+    return df.select(key, *carried).join(metrics.select(key, F.struct(*METRICS).alias("metrics")), key)
+
+
+def write_document(target: str, aggregated: DataFrame, cases: DataFrame, settings: dict[str, str]) -> None:
+    """The evaluation as files: <target>/report with config and aggregated metrics in one object, and
+    <target>/per_case_results with one object per case, which may be as many as they are."""
+    report(aggregated, settings).select("report").write.mode("errorifexists").text(f"{target.rstrip('/')}/report")
+    cases.write.option("ignoreNullFields", "false").mode("errorifexists").json(f"{target.rstrip('/')}/per_case_results")

@@ -18,8 +18,8 @@ def ranked(candidates: Column | str) -> Column:
 
     candidates: array of structs with a score. Returns structs (score, pos, c)."""
     c = F.col(candidates) if isinstance(candidates, str) else candidates
-    keyed = F.transform(c, lambda x, i: F.struct((-F.coalesce(x["score"].cast("double"), F.lit(0.0))).alias("k"), i.alias("pos"), x.alias("c")))
-    return F.transform(F.array_sort(keyed), lambda x: F.struct((-x["k"]).alias("score"), x["pos"].alias("pos"), x["c"].alias("c")))
+    keyed = F.transform(c, lambda x, i: F.struct((-F.coalesce(x["score"].cast("double"), F.lit(0.0))).alias("k"), i.alias("pos")))
+    return F.transform(F.array_sort(keyed), lambda x: F.struct((-x["k"]).alias("score"), x["pos"].alias("pos"), F.get(c, x["pos"]).alias("c")))
 
 
 def pairwise_nested(df: DataFrame, candidates: str, margin: float = MARGIN) -> DataFrame:
@@ -64,9 +64,11 @@ def preference(score: Column | str, threshold: float = THRESHOLD) -> Column:
     return F.when(s >= threshold, "good").otherwise("bad")
 
 
-def top_k_flat(df: DataFrame, key: str, order: str, score: str, k: int = TOP_K, salts: int = 16) -> DataFrame:
+def top_k_flat(df: DataFrame, key: str, order: str, score: str, k: int = TOP_K, salts: int | None = None) -> DataFrame:
     """(key, item, score, rank) of each group's k best items, equals by the smaller `order`. Two
-    windows, the first salted, so no group is sorted in one task."""
+    windows, the first salted (as many ways as there are shuffle partitions), so no group is
+    sorted in one task; Spark keeps k rows a salt before either shuffle."""
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     if k < 0:
         raise ValueError("k must not be negative")
     rows = df.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.coalesce(F.col(score), F.lit(0.0)).alias("_s")).withColumn("_salt", F.pmod(F.xxhash64("_o"), F.lit(salts)))

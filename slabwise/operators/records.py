@@ -79,9 +79,13 @@ def append_reference(df: DataFrame, candidates: str, reference: str) -> DataFram
 
 
 def number_list(text: Column | str, kind: str = "int") -> Column:
-    """Numbers of a comma list; blanks between commas are left out."""
+    """Numbers of a comma list. Blanks between commas are left out of whole numbers and make a list of
+    other numbers an error, as does a list of whole numbers without any."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.transform(F.filter(F.transform(F.split(t, ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: x.cast(kind))
+    if kind != "int":
+        return F.transform(F.split(t, ","), lambda x: F.trim(x).cast(kind))
+    listed = F.filter(F.transform(F.split(t, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(listed) == 0, F.raise_error(F.lit("a list of numbers is empty"))).otherwise(F.transform(listed, lambda x: x.cast(kind)))
 
 
 def reporters(text: Column | str) -> Column:
@@ -96,26 +100,83 @@ def gib(n: Column | str) -> Column:
     return F.format_string("%.2f GiB", b / F.lit(1024.0**3))
 
 
-#: Configuration sections with defaults.
-CONFIG = {
-    "data": {"max_images_per_case": ("int", "4"), "max_seq_length": ("int", "2048")},
-    "generation": {"num_candidates": ("int", "4"), "top_p": ("double", "0.9"), "seed": ("int", "42")},
-    "evaluation": {"score_threshold": ("double", "0.5"), "top_k": ("int", "4")},
-}
+#: Configuration sections, their keys and defaults. None is an optional text.
+CONFIG: dict[str, dict[str, object]] = {
+    "model": {
+        "model_name_or_path": "Qwen/Qwen2-VL-7B-Instruct", "model_type": "auto", "trust_remote_code": True, "torch_dtype": "bfloat16", "attn_implementation": "flash_attention_2",
+        "use_qlora": True, "load_in_4bit": True, "bnb_4bit_compute_dtype": "bfloat16", "bnb_4bit_use_double_quant": True, "bnb_4bit_quant_type": "nf4",
+    },
+    "lora": {
+        "use_lora": True, "r": 64, "lora_alpha": 128, "lora_dropout": 0.05, "bias": "none", "task_type": "CAUSAL_LM",
+        "target_modules": ["q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj"], "modules_to_save": ["embed_tokens", "lm_head"],
+    },
+    "distributed": {
+        "strategy": "single", "ddp_find_unused_parameters": None, "fsdp": [], "fsdp_min_num_params": 0, "fsdp_transformer_layer_cls_to_wrap": [], "fsdp_backward_prefetch": "backward_pre", "fsdp_forward_prefetch": False,
+        "fsdp_cpu_ram_efficient_loading": True, "fsdp_offload_params": False, "fsdp_sync_module_states": True, "fsdp_use_orig_params": True, "fsdp_activation_checkpointing": False,
+    },
+    "data": {
+        "train_jsonl": "data/train.jsonl", "val_jsonl": "data/val.jsonl", "test_jsonl": "data/test.jsonl", "images_root": "data/images", "image_size": 448, "max_images_per_case": 4,
+        "max_seq_length": 2048, "max_prompt_length": 512, "max_response_length": 1024,
+    },
+    "training": {
+        "output_dir": "outputs/sft", "num_train_epochs": 3, "per_device_train_batch_size": 1, "per_device_eval_batch_size": 1, "gradient_accumulation_steps": 8, "learning_rate": 2e-4, "weight_decay": 0.01, "warmup_ratio": 0.03,
+        "lr_scheduler_type": "cosine", "logging_steps": 10, "eval_steps": 100, "save_steps": 500, "save_total_limit": 3, "eval_strategy": "steps", "load_best_model_at_end": True, "metric_for_best_model": "eval_loss",
+        "greater_is_better": False, "seed": 42, "bf16": True, "fp16": False, "gradient_checkpointing": True, "dataloader_num_workers": 4, "remove_unused_columns": False, "report_to": ["tensorboard", "wandb"],
+    },
+    "generation": {"num_candidates": 4, "max_new_tokens": 512, "temperature": 0.7, "top_p": 0.9, "top_k": 50, "do_sample": True, "repetition_penalty": 1.1},
+    "alignment": {
+        "alignment_type": "dpo", "output_dir": "outputs/alignment", "beta": 0.1, "label_smoothing": 0.0, "desirable_weight": 1.0, "undesirable_weight": 1.0, "orpo_alpha": 1.0, "grpo_group_size": 4, "grpo_epsilon": 0.2,
+        "num_train_epochs": 1, "per_device_train_batch_size": 1, "gradient_accumulation_steps": 8, "learning_rate": 5e-5, "weight_decay": 0.01, "warmup_ratio": 0.1, "lr_scheduler_type": "cosine", "logging_steps": 10,
+        "save_steps": 500, "save_total_limit": 3, "seed": 42, "bf16": True, "fp16": False, "gradient_checkpointing": True, "dataloader_num_workers": 4, "remove_unused_columns": False, "report_to": ["tensorboard"],
+    },
+    "evaluation": {
+        "output_dir": "outputs/evaluation", "metrics": ["bleu", "rouge", "structural", "clinical"], "hallucination_weight": 1.0, "consistency_weight": 1.0, "uncertainty_weight": 0.5, "use_llm_judge": False, "llm_judge_model": None,
+    },
+}
+_KINDS = {bool: "boolean", int: "int", float: "double", str: "string", list: "array<string>", type(None): "string"}
+
+
+def _literal(value: object) -> Column:
+    kind = _KINDS[type(value)]
+    return F.array(*map(F.lit, value)).cast(kind) if isinstance(value, list) else F.lit(value).cast(kind)
 
 
 def config(json: Column | str, overrides: dict[str, object] | None = None) -> Column:
-    """struct of the configured values, flat: an override beats the file, the file the default."""
+    """struct of sections of the configured values: an override (by 'section.key') beats the file, the file
+    the default."""
     j = F.col(json) if isinstance(json, str) else json
-    over, out = overrides or {}, []
+    over, sections = overrides or {}, []
+    strange = [k for k in over if k.partition(".")[2] not in CONFIG.get(k.partition(".")[0], {})]
+    if strange:
+        raise ValueError(f"unknown settings {strange}")
     for section, keys in CONFIG.items():
-        for k, (kind, default) in keys.items():
-            first = [F.lit(over[k]).cast(kind)] if over.get(k) is not None else []
-            out.append(F.coalesce(*first, F.get_json_object(j, f"$.{section}.{k}").cast(kind), F.lit(default).cast(kind)).alias(k))
-    return F.struct(*out)
+        out = []
+        for k, default in keys.items():
+            kind, path = _KINDS[type(default)], F.get_json_object(j, f"$.{section}.{k}")
+            given = F.from_json(path, kind) if isinstance(default, list) else path.cast(kind)
+            first = [_literal(over[f"{section}.{k}"]).cast(kind)] if over.get(f"{section}.{k}") is not None else []
+            out.append(F.coalesce(*first, given, _literal(default)).alias(k))
+        sections.append(F.struct(*out).alias(section))
+    return F.struct(*sections)
+
+
+def unknown_settings(json: Column | str) -> Column:
+    """What the configuration does not know, as 'section' or 'section.key', sorted; loading must refuse it."""
+    j = F.col(json) if isinstance(json, str) else json
+    out = [F.array_except(F.coalesce(F.json_object_keys(j), F.array().cast("array<string>")), F.array(*map(F.lit, CONFIG)))]
+    for section, keys in CONFIG.items():
+        mine = F.coalesce(F.json_object_keys(F.get_json_object(j, f"$.{section}")), F.array().cast("array<string>"))
+        named = F.array_join(F.array_except(mine, F.array(*map(F.lit, keys))), f"|{section}.")
+        out.append(F.when(named == "", F.array().cast("array<string>")).otherwise(F.split(F.concat(F.lit(f"{section}."), named), r"\|")))
+    return F.array_sort(F.concat(*out))
 
 
-def unknown_sections(json: Column | str) -> Column:
-    """Names of sections that the configuration does not know; loading must refuse them."""
-    j = F.col(json) if isinstance(json, str) else json
-    return F.array_except(F.json_object_keys(j), F.array(*map(F.lit, CONFIG)))
+def load_config(json: Column | str, overrides: dict[str, object] | None = None) -> Column:
+    """config, refusing text with unknown settings."""
+    bad = unknown_settings(json)
+    return F.when(F.size(bad) > 0, F.raise_error(F.concat(F.lit("unknown settings: "), F.array_join(bad, ", ")))).otherwise(config(json, overrides))
+
+
+def config_json(json: Column | str, overrides: dict[str, object] | None = None) -> Column:
+    """The whole configuration as JSON text, every key written, as an echo beside results."""
+    return F.to_json(config(json, overrides), {"ignoreNullFields": "false"})

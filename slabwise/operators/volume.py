@@ -237,3 +237,85 @@ def command(script: str, source: Column | str, target: Column | str, k: Column |
         elif value not in (None, False, 0, 0.0):
             parts += [F.lit(f"--{name}"), F.lit(str(value))]
     return F.concat_ws(" ", *parts)
+
+
+def sweep_plan(grid: DataFrame, files: DataFrame, done: DataFrame | None = None, dry_run: bool = False) -> DataFrame:
+    """(patient, k, file, status, error) of every wanted image set: missing (no source file, an error), skip
+    (made already), dry_run, or run. files: (patient, file); done: (patient, k)."""
+    p = grid.join(files.select("patient", "file"), "patient", "left")
+    p = p.withColumn("_done", F.lit(False)) if done is None else p.join(done.select("patient", "k").distinct().withColumn("_done", F.lit(True)), ["patient", "k"], "left")
+    none = F.col("file").isNull()
+    status = F.when(none, "missing").when(F.coalesce("_done", F.lit(False)), "skip").otherwise("dry_run" if dry_run else "run")
+    error = F.when(none, F.format_string("K%d %s: no brain-only NRRD found", "k", "patient"))
+    return p.select("patient", "k", "file", status.alias("status"), error.alias("error"))
+
+
+def outcome(plan: DataFrame, exits: DataFrame | None = None) -> DataFrame:
+    """(n_jobs, n_failed, exit_code) of a sweep. exits: (patient, k, code) of the calls that ran; a code
+    other than 0 is a failure, as is an error of the plan."""
+    p = plan if exits is None else plan.join(exits.select("patient", "k", "code"), ["patient", "k"], "left")
+    bad = F.col("error").isNotNull() if exits is None else F.col("error").isNotNull() | (F.coalesce("code", F.lit(0)) != 0)
+    return p.agg(F.count("*").alias("n_jobs"), F.count_if(bad).alias("n_failed")).withColumn("exit_code", F.when(F.col("n_failed") > 0, 1).otherwise(0))
+
+
+def failures(plan: DataFrame, exits: DataFrame) -> DataFrame:
+    """(patient, k, message) of every failure of a sweep."""
+    p = plan.join(exits.select("patient", "k", "code"), ["patient", "k"], "left")
+    message = F.coalesce("error", F.when(F.coalesce("code", F.lit(0)) != 0, F.format_string("K%d %s: exit %d", "k", "patient", "code")))
+    return p.select("patient", "k", message.alias("message")).filter("message IS NOT NULL")
+
+
+def patient_manifest(records: DataFrame, budget: int, orientation: DataFrame | None = None) -> DataFrame:
+    """(patient, image_budget, orientation_original, images): one manifest per patient, images being an
+    array of struct(file, view, axis, slab_index, slabs_total, extent_mm, extent_frac,
+    coverage_band, side) by file; global images have no extent_mm. orientation: (patient, original)."""
+    mm = F.when(F.col("mm_lo").isNotNull(), F.array("mm_lo", "mm_hi"))
+    image = F.struct(file_name("view", "slab_index", "slabs_total").alias("file"), "view", "axis", "slab_index", "slabs_total", mm.alias("extent_mm"), F.array("frac_lo", "frac_hi").alias("extent_frac"), "coverage_band", "side")
+    g = records.groupBy("patient").agg(F.lit(budget).alias("image_budget"), F.array_sort(F.collect_list(image)).alias("images"))  # a patient's few images
+    if orientation is None:
+        return g.select("patient", "image_budget", F.lit(None).cast("string").alias("orientation_original"), "images")
+    return g.join(orientation.select("patient", F.col("original").alias("orientation_original")), "patient", "left").select("patient", "image_budget", "orientation_original", "images")
+
+
+def write_patient_manifests(manifests: DataFrame, target: str) -> None:
+    """<target>/patient=<name>/ with each patient's manifest as JSON, nulls written."""
+    manifests.withColumn("protocol", F.struct("image_budget")).withColumn("orientation", F.struct(F.col("orientation_original").alias("original"))).select("patient", "protocol", "orientation", "images").write.option("ignoreNullFields", "false").partitionBy("patient").mode("errorifexists").json(target)
+
+
+def rollup(manifests: DataFrame) -> DataFrame:
+    """(n_patients, patient, image_budget, orientation_original, images, coverage): the data set's manifest,
+    a row per patient; images are paths below the root, coverage the records themselves."""
+    n = manifests.agg(F.count("*").alias("n_patients"))
+    path = F.transform("images", lambda i: F.concat(F.col("patient"), F.lit("/"), i["file"]))
+    return manifests.select("patient", "image_budget", "orientation_original", path.alias("paths"), F.col("images").alias("coverage")).join(F.broadcast(n)).select("n_patients", "patient", "image_budget", "orientation_original", F.col("paths").alias("images"), "coverage")  # n is one row
+
+
+IMAGE = ["patient", "view", "slab_index"]
+
+
+def pixels(projected: DataFrame, norm: str = "window", bounds: DataFrame | None = None, low: float = 0.01, high: float = 0.995, level: float = LEVEL, width: float = WIDTH, flip: bool = False) -> DataFrame:
+    """(patient, view, slab_index, row, col, value): 8-bit images of projections (patient, view, slab_index,
+    row, col, hu).
+
+    norm window maps a fixed range; per_volume the range in bounds (patient, lo, hi); per_image
+    the percentiles of each image's own foreground, (0, 1) without any. flip turns axial and
+    coronal images left to right; a sagittal image shows one side and is never turned."""
+    if norm == "window":
+        lo, hi, p = *window_bounds(level, width), projected
+    elif norm == "per_volume":
+        if bounds is None:
+            raise ValueError("per_volume needs the bounds of the volumes")
+        lo, hi, p = F.col("lo"), F.col("hi"), projected.join(bounds.select("patient", "lo", "hi"), "patient")
+    elif norm == "per_image":
+        q = projected.groupBy(*IMAGE).agg(F.expr(f"percentile(cast(hu as double), array({low}D, {high}D)) FILTER (WHERE hu > {FLOOR}D)").alias("p"))
+        a, b = F.coalesce(F.get("p", F.lit(0)), F.lit(0.0)), F.coalesce(F.get("p", F.lit(1)), F.lit(1.0))
+        q = q.select(*IMAGE, a.alias("lo"), F.when(b > a, b).otherwise(a + 1.0).alias("hi"))
+        lo, hi, p = F.col("lo"), F.col("hi"), projected.join(q, IMAGE)
+    else:
+        raise ValueError(f"unknown norm {norm}")
+    out = p.select(*IMAGE, "row", "col", to_pixel("hu", lo, hi).alias("value"))
+    if not flip:
+        return out
+    last = out.groupBy(*IMAGE).agg(F.max("col").alias("_last"))
+    turned = F.when(F.col("view").endswith("sagittal"), F.col("col")).otherwise(F.col("_last") - F.col("col"))
+    return out.join(last, IMAGE).select(*IMAGE, "row", turned.alias("col"), "value")

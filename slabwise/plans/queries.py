@@ -285,7 +285,7 @@ _SCORED = (
 def score_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Composite of fact and structure alone, as its SQL has it; score_candidates_whole adds similarity."""
     s = S.composite(F.when(F.col("f.available"), F.col("f.score")), None, S.structure_score("text"), None)
-    return _judged(spark, d).select("cand_id", F.col("f.available").alias("available"), _r(s["score"]).alias("score"))
+    return _judged(spark, d).select("cand_id", F.col("f.available").alias("available"), _r(s["score"]).alias("score")).distinct()
 
 
 @query()
@@ -293,12 +293,16 @@ def score_candidates_whole(spark: SparkSession, d: str) -> DataFrame:
     """Composite of fact, structure and, where the case has a reference, similarity to it."""
     similarity = F.when(F.length("reference") > 0, T.rouge_l(T.tokens("reference"), T.tokens("text")))
     s = S.composite(F.when(F.col("f.available"), F.col("f.score")), None, S.structure_score("text"), similarity)
-    return _judged(spark, d).select("cand_id", F.col("f.available").alias("available"), _r(s["score"]).alias("score"))
+    return _judged(spark, d).select("cand_id", F.col("f.available").alias("available"), _r(s["score"]).alias("score")).distinct()
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    """Each candidate with the reference of its case and its fact report f, labels joined by case."""
-    c = _candidates(spark, d, "cand_id", "case_id", "text").join(_references(spark, d), "case_id", "left").withColumn("c", S.claims("text")).withColumn("g", S.labels("labels")).withColumn("k", S.contradictions("text"))
+    """Each candidate row with the reference of its case and its fact report f, labels joined by case.
+    Candidates that were sent twice are dropped by the callers, from their narrow results."""
+    c = _t(spark, d, "candidates").select("cand_id", "case_id", "text")
+    r = _references(spark, d)
+    known = c.filter("case_id IS NOT NULL").join(r, "case_id", "left")  # cases without an id stay out of the join
+    c = known.unionByName(c.filter("case_id IS NULL"), allowMissingColumns=True).withColumn("c", S.claims("text")).withColumn("g", S.labels("labels")).withColumn("k", S.contradictions("text"))
     return c.withColumn("f", S.fact_report("c", "g", "k"))
 
 
@@ -418,17 +422,32 @@ def sft_label_mask(spark: SparkSession, d: str) -> DataFrame:
 
 def _masked(spark: SparkSession, d: str) -> DataFrame:
     t = IO.spread(_t(spark, d, "sft_from_prefs_5x").filter("response IS NOT NULL").select("sft_id", "prompt", "response"))
-    t = t.select("sft_id", "response", F.transform(T.tokens("prompt"), F.length).alias("p"), F.transform(T.tokens("response"), F.length).alias("r"), F.array_repeat(F.lit(0), F.pmod("sft_id", F.lit(3)).cast("int")).alias("pad"), (F.pmod("sft_id", F.lit(2)) == 0).alias("lp"))
-    body, ones = F.concat("p", "r"), F.transform(F.concat("p", "r"), lambda x: F.lit(1))
-    t = t.withColumn("ids", F.when(F.col("lp"), F.concat("pad", body)).otherwise(F.concat(body, "pad"))).withColumn("mask", F.when(F.col("lp"), F.concat("pad", ones)).otherwise(F.concat(ones, "pad")))
-    return t.withColumn("labels", R.label_mask("ids", "mask", F.size("p"), "lp"))
+    t = t.select("sft_id", "response", T.tokens("prompt").alias("pt"), T.tokens("response").alias("rt"), F.pmod("sft_id", F.lit(3)).cast("int").alias("k"), (F.pmod("sft_id", F.lit(2)) == 0).alias("lp"))
+    body, pad = F.concat("pt", "rt"), F.array_repeat(F.lit(""), F.col("k"))
+    t = t.withColumn("words", F.when(F.col("lp"), F.concat(pad, body)).otherwise(F.concat(body, pad)))
+    t = t.withColumn("ids", F.transform("words", F.length)).withColumn("mask", F.transform("words", lambda w: F.when(w == "", 0).otherwise(1)))
+    return t.withColumn("labels", R.label_mask("ids", "mask", F.size("pt"), "lp"))
 
 
-@query("SELECT sft_id, len(list_filter(string_split_regex(lower(response), '" + V.BLANK + "'), lambda x: x <> ''))::BIGINT AS n_supervised, true AS covers, contains(response, '<|image') OR contains(response, '<|vision') OR contains(response, '<|video') OR contains(response, 'image_pad') OR contains(response, '<image>') AS leaked FROM sft_from_prefs_5x WHERE response IS NOT NULL")
+def _mask_reports(t: DataFrame) -> DataFrame:
+    """The supervised text is put together from the tokens whose label is not ignored, and compared with
+    the response's."""
+    kept = F.filter("words", lambda w, i: F.get("labels", i) != R.IGNORE)
+    t = t.withColumn("n", F.size(kept)).withColumn("s", F.array_join(kept, " "))
+    return t.withColumn("m", R.mask_report("s", "s", F.array_join("rt", " ")))
+
+
+_SUPERVISED = f"""WITH t AS (SELECT sft_id, {Q.toks('prompt')} AS p, {Q.toks('response')} AS r, (sft_id % 3)::INT AS k, sft_id % 2 = 0 AS lp FROM sft_from_prefs_5x WHERE response IS NOT NULL),
+  u AS (SELECT sft_id, array_to_string(r, ' ') AS e, CASE WHEN lp THEN list_concat(list_concat(list_transform(range(0, k), lambda i: ''), p), r) ELSE list_concat(list_concat(p, r), list_transform(range(0, k), lambda i: '')) END AS w, CASE WHEN lp THEN k ELSE 0 END + len(p) AS a, CASE WHEN lp THEN k + len(p) + len(r) ELSE len(p) + len(r) END AS b FROM t),
+  v AS (SELECT sft_id, e, b - a AS n, array_to_string(w[a + 1:b], ' ') AS s FROM u)"""
+
+
+@query(
+    _SUPERVISED + """ SELECT sft_id, n::BIGINT AS n_supervised, contains(s, left(e, 50)) OR contains(e, left(s, 50)) AS covers, contains(s, '<|image') OR contains(s, '<|vision') OR contains(s, '<|video') OR contains(s, 'image_pad') OR contains(s, '<image>') AS leaked FROM v"""
+)
 def mask_verify(spark: SparkSession, d: str) -> DataFrame:
-    t = _masked(spark, d).withColumn("n", F.size(F.filter("labels", lambda x: x != R.IGNORE)))
-    m = t.select("sft_id", big(F.col("n")).alias("n_supervised"), R.mask_report("response", "response", "response").alias("m"))
-    return m.select("sft_id", "n_supervised", "m.covers", "m.leaked")
+    m = _mask_reports(_masked(spark, d))
+    return m.select("sft_id", big(F.col("n")).alias("n_supervised"), "m.covers", "m.leaked")
 
 
 @query("SELECT b.x AS batch_size, i.x AS n_images, b.x * i.x AS images_total FROM (SELECT unnest([1, 2, 4]) AS x) b, (SELECT unnest([1, 2, 3, 4]) AS x) i")
@@ -454,13 +473,6 @@ def length_reward(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "sft_from_prefs_5x").filter("response IS NOT NULL").select("sft_id", P.length_reward("response").alias("reward"))
 
 
-@query("SELECT * FROM (VALUES (1, 4, 2048, 4, 0.9::DOUBLE, 7, 0.5::DOUBLE, 4, ''), (2, 8, 2048, 2, 0.9, 7, 0.5, 4, 'other'), (3, 4, 512, 4, 0.8, 7, 0.25, 9, '')) t(id, max_images_per_case, max_seq_length, num_candidates, top_p, seed, score_threshold, top_k, unknown)")
-def config_defaults(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "{}"), (2, '{"data": {"max_images_per_case": 8}, "generation": {"num_candidates": 2, "seed": 1}, "other": {}}'), (3, '{"data": {"max_seq_length": 512}, "generation": {"top_p": 0.8}, "evaluation": {"score_threshold": 0.25, "top_k": 9}}')]
-    t = spark.createDataFrame(rows, "id int, j string")
-    return t.select("id", R.config("j", {"seed": 7}).alias("c"), F.array_join(R.unknown_sections("j"), ",").alias("unknown")).select("id", "c.*", "unknown")
-
-
 # ---- evaluation ------------------------------------------------------------
 
 _EVAL = f"""WITH p AS (SELECT case_id, arg_max(text, cand_id) AS prediction FROM {CANDIDATES} WHERE case_id IS NOT NULL GROUP BY case_id),
@@ -619,16 +631,20 @@ def protocol_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH v AS {VOXELS}, b AS (SELECT patient, {_box('y', 8.0)}, {_box('x', 8.0)}, {_box('z', 0.5)} FROM v GROUP BY patient),
-    c AS (SELECT patient, y - y0 AS y, x - x0 AS x, z - z0 AS z, CASE WHEN hu < 30 THEN -1000 WHEN hu > 420 THEN 420 ELSE hu END AS hu FROM v JOIN b USING (patient) WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 AND z BETWEEN z0 AND z1),
-    s AS (SELECT patient, max(z) + 1 AS n FROM c GROUP BY patient)
-    SELECT patient, (z >= round_even(n / 2.0::DOUBLE, 0))::INT AS slab_index, y AS "row", x AS col, max(hu) AS hu FROM c JOIN s USING (patient) GROUP BY ALL"""
+    c0 AS (SELECT patient, y - y0 AS y, x - x0 AS x, z - z0 AS z, hu FROM v JOIN b USING (patient) WHERE y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 AND z BETWEEN z0 AND z1),
+    a AS (SELECT patient, z, count(*) FILTER (hu > 150) AS area FROM c0 GROUP BY patient, z), t AS (SELECT patient, max(area) AS top FROM a GROUP BY patient),
+    k AS (SELECT patient, min(z) AS a, max(z) AS b FROM a JOIN t USING (patient) WHERE top = 0 OR area >= 0.5::DOUBLE * top GROUP BY patient),
+    c AS (SELECT patient, y, x, z - a AS z, CASE WHEN hu < 30 THEN -1000 WHEN hu > 420 THEN 420 ELSE hu END AS hu FROM c0 JOIN k USING (patient) WHERE z BETWEEN a AND b),
+    s AS (SELECT patient, max(z) + 1 AS n, max(y) + 1 AS h, max(x) + 1 AS w FROM c GROUP BY patient)
+    SELECT patient, 'axial' AS view, (z >= round_even(n / 2.0::DOUBLE, 0))::INT AS slab_index, y AS "row", x AS col, max(hu) AS hu FROM c JOIN s USING (patient) GROUP BY ALL
+    UNION ALL SELECT patient, 'coronal', (y >= round_even(h / 2.0::DOUBLE, 0))::INT, z, x, max(hu) FROM c JOIN s USING (patient) GROUP BY ALL
+    UNION ALL SELECT patient, 'sagittal', (x >= round_even(w / 2.0::DOUBLE, 0))::INT, z, y, max(hu) FROM c JOIN s USING (patient) GROUP BY ALL"""
 )
 def volume_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Crop, trim, filter and project; the axial slabs."""
-    return Vol.pipeline(_voxels(spark, d), 2, (8.0, 8.0, 0.5), 150.0).filter("view = 'axial'").drop("view")
+    """Crop, trim, filter and project in three views."""
+    return Vol.pipeline(_voxels(spark, d), 2, (8.0, 8.0, 0.5), 150.0, 0.5)
 
 
-@query("SELECT line FROM (" + ORACLES["evaluate_aggregate"].replace("SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, round(median(v), 6) AS median", "SELECT metric || ': ' || printf('%.3f', avg(v)) AS line") + ")")
+@query("SELECT line FROM (" + ORACLES["evaluate_aggregate"].replace("SELECT metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, round(median(v), 6) AS median", "SELECT rpad(metric, 20, ' ') || ': mean=' || printf('%.4f', avg(v)) || ', std=' || printf('%.4f', stddev_pop(v)) AS line") + ")")
 def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
-    a = E.aggregate(_evaluated(spark, d), E.METRICS)
-    return a.select(F.format_string("%s: %.3f", "metric", "mean").alias("line"))
+    return E.summary(E.aggregate(_evaluated(spark, d), E.METRICS))

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from slabwise.plans import frontdoor  # noqa: F401  registers its queries
 from slabwise.plans.queries import ORACLES as _SQL
 from slabwise.plans.queries import QUERIES as _CORE
 

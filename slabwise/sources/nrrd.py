@@ -11,6 +11,7 @@ from __future__ import annotations
 import glob
 import gzip
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,40 @@ def parse(raw: bytes) -> tuple[np.ndarray, dict[str, str]]:
     return np.frombuffer(body, np.dtype(order + kind), int(np.prod(shape))).reshape(shape[::-1]).astype(np.float32), fields
 
 
+def axes_of(fields: dict[str, str]) -> list[tuple[int, int]]:
+    """(anatomical axis, direction) of each file axis from the header: axis 0 runs to the left, 1 to the
+    back, 2 to the top, direction 1 along it and -1 against it. Without directions the file's
+    axes are taken as they are."""
+    directions = fields.get("space directions", "")
+    vectors = [[float(v) for v in d.split(",")] for d in re.findall(r"\(([^)]*)\)", directions)]
+    if len(vectors) != 3:
+        return [(0, 1), (1, 1), (2, 1)]
+    space = fields.get("space", "left-posterior-superior").strip().lower()
+    names = {"lps": "left-posterior-superior", "ras": "right-anterior-superior", "las": "left-anterior-superior"}.get(space, space).split("-")
+    sign = [-1 if n in ("right", "anterior", "inferior") else 1 for n in names[:3]]
+    free, out = {0, 1, 2}, {}
+    for i in sorted(range(3), key=lambda i: -max(map(abs, vectors[i]))):
+        a = max(free, key=lambda a: abs(vectors[i][a]))
+        free.discard(a)
+        out[i] = (a, 1 if vectors[i][a] * sign[a] >= 0 else -1)
+    return [out[i] for i in range(3)]
+
+
+def orientation(fields: dict[str, str]) -> str:
+    """Three letters, one per file axis: where it runs to."""
+    return "".join("LPS"[a] if d > 0 else "RAI"[a] for a, d in axes_of(fields))
+
+
+def oriented(volume: np.ndarray, fields: dict[str, str]) -> np.ndarray:
+    """A volume indexed [z, y, x] with x to the left, y to the back and z to the top, from one in file order."""
+    v, axes = volume.transpose(2, 1, 0), axes_of(fields)
+    v = v.transpose([next(i for i in range(3) if axes[i][0] == a) for a in range(3)])
+    for a in range(3):
+        if next(d for x, d in axes if x == a) < 0:
+            v = np.flip(v, a)
+    return np.ascontiguousarray(v.transpose(2, 1, 0))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
@@ -49,7 +84,8 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         with open(partition.value, "rb") as f:
-            volume, _ = parse(f.read())
+            volume, fields = parse(f.read())
+        volume = oriented(volume, fields)
         patient = os.path.splitext(os.path.basename(partition.value))[0]
         y, x = (a.ravel().astype(np.int32) for a in np.indices(volume.shape[1:]))
         for z in range(volume.shape[0]):

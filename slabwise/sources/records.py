@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +53,27 @@ def images_with_files(df: DataFrame, key: str, images: str, files: DataFrame, mo
     return e.join(f, F.col("path") == F.col("_f"), "left").select(key, "pos", "path", F.col("_f").isNotNull().alias("exists"))
 
 
+def black_png(width: int = 448, height: int = 448) -> bytes:
+    """A black RGB image as PNG."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(bytes((1 + 3 * width) * height))) + chunk(b"IEND", b"")
+
+
+def load_images(df: DataFrame, key: str, images: str, files: DataFrame, most: int = 4) -> DataFrame:
+    """(key, pos, path, content, placeholder) of each row's first images; where files (path, content) has
+    none, the content is a black image. Null paths have no row."""
+    e = df.select(key, F.posexplode(F.slice(F.coalesce(F.col(images), F.array().cast("array<string>")), 1, most)).alias("pos", "path")).filter("path IS NOT NULL")
+    f = files.select(F.col("path").alias("_f"), "content")
+    j = e.join(f, F.col("path") == F.col("_f"), "left")
+    return j.select(key, "pos", "path", F.coalesce("content", F.lit(black_png())).alias("content"), F.col("_f").isNull().alias("placeholder"))
+
+
+def stamped(root: str, name: str, at: datetime) -> str:
+    """The output folder of a run: <root>/<name>_YYYYmmdd_HHMMSS."""
+    return f"{root.rstrip('/')}/{name}_{at:%Y%m%d_%H%M%S}"
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of image files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg}").option("recursiveFileLookup", "true").load(path).select("path", "content")

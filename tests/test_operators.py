@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,10 +85,21 @@ def test_label_mask(spark):
 def test_record_helpers(spark):
     row = spark.range(1).select(
         R.data_uri(F.lit("x").cast("binary"), F.lit("a.JPG")), R.data_uri(F.lit("x").cast("binary"), F.lit("a.d/b")), R.data_uri(F.lit(None).cast("binary"), F.lit("a.png")), R.number_list(F.lit("1, 2,,3")),
-        R.reporters(F.lit(" a, ,b")), R.reporters(F.lit("None")), R.gib(F.lit(3 * 1024**3)), R.unknown_sections(F.lit('{"data": {}, "x": 1}')), R.config(F.lit('{"data": {"max_seq_length": 5}}'), {"top_k": 9}),
+        R.reporters(F.lit(" a, ,b")), R.reporters(F.lit("None")), R.gib(F.lit(3 * 1024**3)), R.unknown_settings(F.lit('{"data": {"y": 1}, "x": 1}')), R.config(F.lit('{"data": {"max_seq_length": 5}, "training": {"report_to": ["a"]}}'), {"generation.top_k": 9}),
     ).first()
-    assert tuple(row)[:8] == ("data:image/jpeg;base64,eA==", "data:image/png;base64,eA==", None, [1, 2, 3], ["a", "b"], [], "3.00 GiB", ["x"])
-    assert row[8]["max_seq_length"] == 5 and row[8]["top_k"] == 9 and row[8]["seed"] == 42
+    assert tuple(row)[:8] == ("data:image/jpeg;base64,eA==", "data:image/png;base64,eA==", None, [1, 2, 3], ["a", "b"], [], "3.00 GiB", ["data.y", "x"])
+    c = row[8]
+    assert c["data"]["max_seq_length"] == 5 and c["generation"]["top_k"] == 9 and c["training"]["seed"] == 42 and c["training"]["report_to"] == ["a"] and c["evaluation"]["llm_judge_model"] is None
+    echo = json.loads(spark.range(1).select(R.config_json(F.lit("{}"))).first()[0])
+    assert set(echo) == set(R.CONFIG) and echo["model"]["use_qlora"] is True and echo["distributed"]["fsdp"] == []
+    assert spark.range(1).select(R.load_config(F.lit("{}"))).first()[0]["lora"]["r"] == 64
+    with pytest.raises(Exception, match="unknown settings: data.y"):
+        spark.range(1).select(R.load_config(F.lit('{"data": {"y": 1}}'))).collect()
+    with pytest.raises(ValueError):
+        R.config(F.lit("{}"), {"data.y": 1})
+    for bad, kind in ((" , ", "int"), ("1,,2", "double")):
+        with pytest.raises(Exception):
+            spark.range(1).select(R.number_list(F.lit(bad), kind)).collect()
 
 
 def test_volume(spark):
@@ -131,7 +144,7 @@ def test_report(spark):
     a = E.aggregate(spark.createDataFrame([(1.0, 2.0)], "a double, b double"), ["a", "b"])
     r = json.loads(E.report(a, {"model": "m"}).first()["report"])
     assert r["config"] == {"model": "m"} and r["aggregated_metrics"]["a"]["mean"] == 1.0
-    assert sorted(x["line"] for x in E.summary(a).collect()) == ["a: 1.0000, 0.0000", "b: 2.0000, 0.0000"]
+    assert sorted(x["line"] for x in E.summary(a).collect()) == ["a                   : mean=1.0000, std=0.0000", "b                   : mean=2.0000, std=0.0000"]
 
 
 def test_candidates_are_scored_against_the_reference(spark, tmp_path):
