@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 from slabwise.llm.unfinished import unfinished
 
 COPY_SHARE = 0.6  # of the answer's word triples that stand in the prompt
-COPY_WORDS = 6
-LANGUAGE_LEAST = 4  # different function words that must speak for a language
-LANGUAGE_WORDS = 12
+COPY_WORDS = 6  # from which triples tell a copy; a shorter answer is one if the prompt begins with it
+LANGUAGE_LEAST = 3  # different function words that must speak for a language
+LANGUAGE_WORDS = 6
 
 #: Function words that tell the languages apart.
 FUNCTION_WORDS = {
-    "en": "the of and with is in on to for at by no was as from this a an are there within after about looks".split(),
-    "de": "der die das und mit ist im am zur zum den dem eine keine kein für bei wegen nicht von zu des auf durch über wirkt zwischen".split(),
-    "es": "el la los las de del en con por y es un una no se para sin al que hay hacia quizá junto ante".split(),
-    "fr": "le la les du des de en avec par et est un une pas au aux sur dans sans vers près pour on devant".split(),
+    "en": "the of and with is in on to for at by no was as from this a an are there within or not be but it that has have been which".split(),
+    "de": "der die das und mit ist im am zur zum den dem eine keine kein für bei wegen nicht von zu des auf durch über zwischen ein einen einer sich auch vom beim oder wird sind".split(),
+    "es": "el la los las de del en con por y es un una no se para sin al que hay hacia ante entre su lo como más está desde o".split(),
+    "fr": "le la les du des de en avec par et est un une pas au aux sur dans sans vers près pour on devant ce cette qui que ne ou plus".split(),
+    "it": "il lo la gli le di del della dei delle in con per e è un una non si da al alla che nel nella sono più senza tra".split(),
+    "nl": "de het een en van in op met is niet geen voor bij door aan te zijn dat die er naar tussen over uit wordt".split(),
+    "pt": "o a os as de do da dos das em no na com por e é um uma não se para sem ao à que há entre mais".split(),
 }
 #: Languages as prompts name them.
 LANGUAGE_NAMES = {
@@ -62,6 +65,20 @@ def empty(text: Column, words: Column) -> Column:
     return F.coalesce(nothing, F.lit(True))
 
 
+#: Delimiters that come in pairs.
+PAIRS = (("(", ")"), ("[", "]"), ("{", "}"), ("«", "»"), ("„", "“"))
+
+
+def unclosed(text: Column) -> Column:
+    """Whether a bracket, quotation or code fence is opened and not closed: more openings than closings
+    over the whole text, or an odd number of fences."""
+    many = lambda mark: (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark)
+    out = F.contains(text, F.lit("```")) & (many("```") % 2 == 1)
+    for a, b in PAIRS:
+        out = out | F.contains(text, F.lit(a)) & (many(a) > many(b))
+    return out
+
+
 def _language(words: Column) -> Column:
     """struct(lang, n) of the language with the most different function words; ties by name."""
     scored = [F.struct(F.size(F.array_intersect(words, F.array(*map(F.lit, v)))).alias("n"), F.lit(k).alias("lang")) for k, v in sorted(FUNCTION_WORDS.items(), reverse=True)]
@@ -76,7 +93,8 @@ def pair_defects(rows: DataFrame) -> DataFrame:
     empty; a null prompt neither is copied nor has a language. Whole texts are judged. An
     answer that only quotes its prompt's sentences before its own report is no copy, and a
     refusal is none when the text reports measures or has filled headings. A language
-    counts from 12 words and 4 different function words on; a script of its own counts too.
+    counts from 6 words and 3 different function words on; a script of its own counts too. An
+    answer is truncated if it is unfinished or leaves a delimiter open.
     Repeated rows give one row; rows without a field or an id are left out."""
     base = rows.select("field", "rec_id", "source", "prompt", "answer").filter(F.col("field").isNotNull() & F.col("rec_id").isNotNull())
     w = base.withColumn("_a", _words("answer")).withColumn("_p", _words("prompt"))
@@ -87,7 +105,8 @@ def pair_defects(rows: DataFrame) -> DataFrame:
 
     w = w.withColumn("_at", F.array_distinct(triples("_a"))).withColumn("_pt", triples("_p"))
     shared = F.size(F.array_intersect("_at", "_pt"))
-    is_copy = (F.size("_a") >= COPY_WORDS) & (F.size("_at") > 0) & (shared >= COPY_SHARE * F.size("_at"))
+    begins = (F.size("_a") >= 2) & (F.size("_p") > F.size("_a")) & (F.slice("_p", 1, F.greatest(F.size("_a"), F.lit(1))) == F.col("_a"))
+    is_copy = begins | (F.size("_a") >= COPY_WORDS) & (F.size("_at") > 0) & (shared >= COPY_SHARE * F.size("_at"))
     reports = F.col("answer").rlike(MEASURE) | F.col("answer").rlike(rf"(?i)(?<![\p{{L}}])(?:{HEADING})\W{{0,3}}[:\n]")
     is_refusal = F.when(reports, F.lit("")).otherwise(F.col("answer")).rlike(REFUSAL)
 
@@ -105,9 +124,10 @@ def pair_defects(rows: DataFrame) -> DataFrame:
 
     cut = unfinished(base.select("field", "rec_id", "source", F.col("answer").alias("text"))).select("field", "rec_id", F.lit(True).alias("_cut"))
     flags = w.select(
-        "field", "rec_id", empty(F.col("answer"), F.col("_a")).alias("empty"), F.coalesce(is_copy, F.lit(False)).alias("copy"), F.coalesce(is_refusal, F.lit(False)).alias("refusal"), F.coalesce(is_foreign, F.lit(False)).alias("other_language")
+        "field", "rec_id", empty(F.col("answer"), F.col("_a")).alias("empty"), F.coalesce(is_copy, F.lit(False)).alias("copy"), F.coalesce(is_refusal, F.lit(False)).alias("refusal"), F.coalesce(is_foreign, F.lit(False)).alias("other_language"),
+        F.coalesce(unclosed(F.col("answer")), F.lit(False)).alias("unclosed"),
     )
-    flags = flags.join(cut, ["field", "rec_id"], "left").withColumn("truncated", F.coalesce("_cut", F.lit(False)))
+    flags = flags.join(cut, ["field", "rec_id"], "left").withColumn("truncated", F.coalesce("_cut", F.lit(False)) | F.col("unclosed"))
     order = ["empty", "copy", "refusal", "other_language", "truncated"]
     listed = flags.select("field", "rec_id", F.array_compact(F.array(*[F.when(F.col(x), F.lit(x)) for x in order])).alias("defects"))
     return listed.filter(F.size("defects") > 0).dropDuplicates(["field", "rec_id"]).withColumn("defect", F.element_at("defects", 1))

@@ -59,20 +59,24 @@ def same_images(d: DataFrame, least: float) -> DataFrame:
 
 
 def same_text(d: DataFrame, least: float, hot: int = CROWD) -> DataFrame:
-    """(a, b): ids whose texts have a likeness of at least `least`. Each text is known by its triples
+    """(a, b, containment): ids whose texts have a likeness of at least `least`, and the share of b's triples
+    that a holds. Each text is known by its triples
     in which fewest texts meet - as many as a partner at that likeness can't miss - and those
     of the evaluation texts are looked up in those of training, partition by partition."""
     rows = d.select(F.lit(0).alias("field"), "id", "side", "text")
     members, links = similar_classes(rows, prefix_candidates, least, sided=True, hot=hot)
-    ends = links.select("class_a", "class_b").unionByName(links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
+    # of the triples of both, a pair of likeness s shares s / (1 + s)
+    both = F.round(F.col("likeness") / (1 + F.col("likeness")) * (F.col("n_a") + F.col("n_b")))
+    ends = links.select("class_a", "class_b", (both / F.col("n_b")).alias("containment")).unionByName(links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"), (both / F.col("n_a")).alias("containment")))
     a = members.filter("side = 0").select(F.col("class").alias("class_a"), F.col("id").alias("a"))
     b = members.filter("side = 1").select(F.col("class").alias("class_b"), F.col("id").alias("b"))
-    return ends.join(a, "class_a").join(b, "class_b").select("a", "b")
+    return ends.join(a, "class_a").join(b, "class_b").select("a", "b", "containment")
 
 
 def cross_split(df: DataFrame, key: str, split: str, case: str, text: str, images: str, train: str = "train", evaluation: list[str] | None = None, likeness: float = 0.5) -> DataFrame:
-    """(a, b, by_case, by_text, by_images): every pair of a training and an evaluation record that
-    overlaps in at least one way.
+    """(a, b, by_case, by_text, by_images, containment): every pair of a training and an evaluation record
+    that overlaps in at least one way. containment is the share of the evaluation text's triples
+    that the training text holds, where the texts are alike, else null.
 
     Null and empty values overlap with nothing, neither do rows of no split or without an id; a text of fewer
     than 20 words has no likeness. Repeated rows count once; other columns are ignored; an
@@ -83,6 +87,7 @@ def cross_split(df: DataFrame, key: str, split: str, case: str, text: str, image
     ways = {"by_case": same_key(narrow), "by_text": same_text(d, likeness), "by_images": same_images(narrow, likeness)}
     out = None
     for name, pairs in ways.items():
-        part = pairs.select("a", "b", *[F.lit(name == w).alias(w) for w in ways])
+        held = F.col("containment") if "containment" in pairs.columns else F.lit(None).cast("double")
+        part = pairs.select("a", "b", *[F.lit(name == w).alias(w) for w in ways], held.alias("containment"))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("a", "b").agg(*[F.bool_or(w).alias(w) for w in ways])
+    return out.groupBy("a", "b").agg(*[F.bool_or(w).alias(w) for w in ways], F.max("containment").alias("containment"))

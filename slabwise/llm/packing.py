@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
-SALTS = 64
+SALT_ROWS = 1_000_000  # documents of one length that are ranked together
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -77,38 +77,38 @@ def pack(docs: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Data
     packed like a whole document; no other document is cut. Sizes null, 0 or less take no
     room: part 0 of 0 tokens, spread evenly over the sequences (sequence 0 when there is
     none). The histogram has at most `capacity` rows, so it is planned on the driver; ranks
-    within a length come from salted counts, so that no length is one task's burden. Repeated
+    within a length come from salted counts, a salt per million documents of that length, so that
+    no length is one task's burden. Repeated
     rows are separate documents; an empty table gives no rows."""
     n = F.greatest(F.coalesce(F.col(f"`{size}`"), F.lit(0)), F.lit(0)).cast("bigint")
     rows = docs.select(F.col(f"`{key}`").alias("_k"), n.alias("_n"))
     whole, rest = F.floor(F.col("_n") / capacity).cast("bigint"), F.pmod("_n", F.lit(capacity).cast("bigint"))
-    items = rows.select("_k", whole.alias("_whole"), rest.alias("_len"), F.pmod(F.xxhash64("_k"), F.lit(SALTS)).alias("_salt"), "_n")
+    by_length = {r["_len"]: r["_c"] for r in rows.groupBy(rest.alias("_len")).agg(F.count("*").alias("_c")).collect()}  # at most capacity rows
+    salts = [-(-by_length.get(i, 0) // SALT_ROWS) or 1 for i in range(capacity)]
+    at = np.cumsum([0] + salts)  # where the salts of each length begin
+    ways = F.element_at(F.array(*map(F.lit, salts)), rest.cast("int") + 1) if max(salts) > 1 else F.lit(1)
+    items = rows.select("_k", whole.alias("_whole"), rest.alias("_len"), F.pmod(F.xxhash64("_k"), ways).alias("_salt"), "_n")
 
-    counts = items.groupBy("_len", "_salt").agg(F.count("*").alias("_c"), F.sum("_whole").alias("_w")).collect()  # at most capacity x SALTS rows
+    counts = items.groupBy("_len", "_salt").agg(F.count("*").alias("_c"), F.sum("_whole").alias("_w")).collect()  # at most capacity + documents / SALT_ROWS rows
     histogram: dict[int, int] = defaultdict(int)
-    first: dict[tuple[int, int], int] = {}
-    wholes: dict[tuple[int, int], int] = {}
+    start, whole_start = (np.zeros(int(at[-1]), np.int64) for _ in range(2))
     n_whole = 0
     for r in sorted(counts, key=lambda r: (r["_len"], r["_salt"])):
-        first[r["_len"], r["_salt"]] = histogram[r["_len"]]
+        i = at[r["_len"]] + r["_salt"]
+        start[i], whole_start[i] = histogram[r["_len"]], n_whole
         histogram[r["_len"]] += r["_c"]
-        wholes[r["_len"], r["_salt"]] = n_whole
         n_whole += r["_w"]
     places, n_packed = _places(shortest_pack_first({k: v for k, v in histogram.items() if k}, capacity))
-    start = np.zeros((capacity, SALTS), np.int64)
-    whole_start = np.zeros((capacity, SALTS), np.int64)
-    for (a, b), v in first.items():
-        start[a, b], whole_start[a, b] = v, wholes[a, b]
-    shared = docs.sparkSession.sparkContext.broadcast((places, start, whole_start))
+    shared = docs.sparkSession.sparkContext.broadcast((places, at, start, whole_start))
 
     w = Window.partitionBy("_len", "_salt").orderBy("_k")
     ranked = items.withColumn("_rank", F.row_number().over(w) - 1).withColumn("_before", F.sum("_whole").over(w.rowsBetween(Window.unboundedPreceding, -1)))
 
     @F.pandas_udf("struct<seq: bigint, at: bigint, whole: bigint>")
     def place(length: pd.Series, salt: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        places, start, whole_start = shared.value
+        places, at_, start, whole_start = shared.value
         ln, s = length.to_numpy(np.int64), salt.to_numpy(np.int64)
-        rk = rank.to_numpy(np.int64) + start[ln, s]
+        rk = rank.to_numpy(np.int64) + start[at_[ln] + s]
         seq, at = np.zeros(len(ln), np.int64), np.zeros(len(ln), np.int64)
         for x in np.unique(ln):
             if x == 0:
@@ -118,7 +118,7 @@ def pack(docs: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Data
             i = np.searchsorted(lo, rk[here], "right") - 1
             seq[here] = base[i] + (rk[here] - lo[i]) // copies[i]
             at[here] = offset[i] + (rk[here] - lo[i]) % copies[i] * x
-        return pd.DataFrame({"seq": seq, "at": at, "whole": whole_start[ln, s]})
+        return pd.DataFrame({"seq": seq, "at": at, "whole": whole_start[at_[ln] + s]})
 
     placed = ranked.withColumn("_p", place("_len", "_salt", "_rank"))
     n_all = n_packed + n_whole
@@ -136,3 +136,10 @@ def pack(docs: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Data
     )
     tail = F.when((F.col("_len") > 0) | (F.col("_whole") == 0), F.array(last)).otherwise(F.array().cast("array<struct<part:int,part_start:bigint,n_tokens:bigint,seq_id:bigint,seq_offset:bigint>>"))
     return placed.select(F.col("_k").alias(key), F.explode(F.concat(full, tail)).alias("_x")).select(key, "_x.*")
+
+
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(n_sequences, n_tokens, least_sequences, fill) of what pack gives: the sequences used, the tokens in
+    them, the number that no packing can go below, and tokens over the room of the sequences."""
+    g = packed.agg(F.countDistinct("seq_id").alias("n_sequences"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens"))
+    return g.withColumn("least_sequences", F.ceil(F.col("n_tokens") / capacity)).withColumn("fill", F.round(F.col("n_tokens") / (F.greatest("n_sequences", F.lit(1)) * capacity), 6))

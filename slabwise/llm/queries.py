@@ -132,6 +132,13 @@ def p7_packing(spark: SparkSession, d: str) -> DataFrame:
 _TAGGERS: dict[tuple[str, str], object] = {}
 
 
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the sequences of p7_packing are, against the number that no packing can go below."""
+    from slabwise.llm.packing import fill
+
+    return fill(p7_packing(spark, d))
+
+
 def _personal(spark: SparkSession, d: str) -> DataFrame:
     """The tagger is fitted once per application and table, and passed to the scan."""
     from slabwise.llm.personal import scan, train
@@ -168,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_groups": p5_groups,
     "p6_ids": p6_ids,
     "p7_packing": p7_packing,
+    "p7_fill": p7_fill,
     "p8_found": p8_found,
     "p8_redacted": p8_redacted,
 }

@@ -411,7 +411,7 @@ def similar_classes(rows: DataFrame, keys: Callable | list[tuple[Callable, float
 
 
 def verified(rows: DataFrame, near: DataFrame, least: float) -> DataFrame:
-    """(field, class_a, class_b, likeness) of the candidates (field, ca, cb) whose exact likeness is at
+    """(field, class_a, class_b, likeness, n_a, n_b: triples of each) of the candidates (field, ca, cb) whose exact likeness is at
     least `least`. AQE splits the partition of a text that
     has many candidates."""
     ids = near.select("field", F.explode(F.array("ca", "cb")).alias("id")).distinct()
@@ -419,7 +419,7 @@ def verified(rows: DataFrame, near: DataFrame, least: float) -> DataFrame:
     left = sets.select("field", F.col("id").alias("ca"), F.col("triples").alias("ta"))
     right = sets.select("field", F.col("id").alias("cb"), F.col("triples").alias("tb"))
     out = near.join(left, ["field", "ca"]).join(right, ["field", "cb"]).withColumn("likeness", _jaccard("ta", "tb")).filter(F.col("likeness") >= least)
-    return out.select("field", F.col("ca").alias("class_a"), F.col("cb").alias("class_b"), "likeness")
+    return out.select("field", F.col("ca").alias("class_a"), F.col("cb").alias("class_b"), "likeness", (F.length("ta") / 8).cast("int").alias("n_a"), (F.length("tb") / 8).cast("int").alias("n_b"))
 
 
 def groups(links: DataFrame, a: str, b: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_HOT = 1000  # groups that may be broadcast as hot; every other has at most 1/1000 of all rows
+from slabwise.llm.common import written
+
+MOST_HOT = 1000  # hot groups up to which their list is broadcast; more are joined by a shuffle
 
 
 def top_n(df: DataFrame, group: str, score: str, tie: str, n: int, hot_rows: int = 50_000, salt_rows: int = 25_000) -> DataFrame:
@@ -13,8 +15,8 @@ def top_n(df: DataFrame, group: str, score: str, tie: str, n: int, hot_rows: int
     by the smaller tie.
 
     * Exact counts per group (combined before the shuffle) name the hot groups: those of more
-      than hot_rows rows, at most the 1000 largest. A group beyond the first 1000 has at most
-      a thousandth of all rows, so the broadcast list is bounded and no light group is large.
+      than hot_rows rows, all of them. Their list is broadcast while it is short (1000) and joined
+      by a shuffle beyond that, so no light group is large at any number of hot ones.
     * Light groups: one window per group; Spark limits each partition to n ranks before the
       shuffle.
     * Hot groups: rows are range-sorted by (group, salt), ranked within, and the at most
@@ -28,7 +30,7 @@ def top_n(df: DataFrame, group: str, score: str, tie: str, n: int, hot_rows: int
     rows = df.select(F.col(f"`{group}`").alias("_g"), (F.col(f"`{score}`") + F.lit(0.0)).alias("_s"), F.col(f"`{tie}`").alias("_t"))
     rows = rows.filter(F.col("_g").isNotNull() & F.col("_s").isNotNull() & ~F.isnan("_s"))
     counts = rows.groupBy("_g").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
-    hot = counts.orderBy(F.desc("_n"), "_g").limit(MOST_HOT).collect()
+    hot = counts.limit(MOST_HOT + 1).collect()
 
     best = [F.desc("_s"), F.asc("_t")]
 
@@ -36,9 +38,11 @@ def top_n(df: DataFrame, group: str, score: str, tie: str, n: int, hot_rows: int
         return d.withColumn("_r", F.dense_rank().over(Window.partitionBy(*by).orderBy(*best))).filter(F.col("_r") <= n).drop("_r")
 
     if hot:
-        spark = df.sparkSession
-        kind = rows.schema["_g"].dataType.simpleString()
-        named = F.broadcast(spark.createDataFrame([(r["_g"], -(-r["_n"] // salt_rows)) for r in hot], f"_g {kind}, _salts bigint"))
+        if len(hot) > MOST_HOT:
+            named = written(counts.select("_g", F.ceil(F.col("_n") / salt_rows).alias("_salts")))
+        else:
+            kind = rows.schema["_g"].dataType.simpleString()
+            named = F.broadcast(df.sparkSession.createDataFrame([(r["_g"], -(-r["_n"] // salt_rows)) for r in hot], f"_g {kind}, _salts bigint"))
         light = kept(rows.join(named, "_g", "left_anti"), "_g")
         salted = rows.join(named, "_g").withColumn("_salt", F.pmod(F.xxhash64("_t"), F.col("_salts"))).drop("_salts")
         salted = salted.repartitionByRange("_g", "_salt")

@@ -3,12 +3,15 @@
 Two kinds of evidence, both over all rows:
 
 * limits: per field and source, the histograms of length in characters and in UTF-8 bytes
-  are searched for spikes - a length that far more texts have than its neighbours, with an
-  excess of texts that lack terminal punctuation. Such a text at a spike length is cut.
+  are searched for spikes at the maximum - a length that far more texts have than its
+  neighbours, with an excess of texts that lack terminal punctuation, and that hardly any text
+  exceeds. Such a text at such a length is cut, whatever its last words are.
 * broken transfers stop anywhere. A text without terminal punctuation is cut unless its last
   segment is a closing remark, that is, one that follows many different texts word for word
   (digits masked). A text that stops behind the point of a decimal number is found from the
   words that the corpus puts before decimals and before final numbers.
+
+Every threshold is a share or a ratio, so a text is judged alike in a small and a large table.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ from pyspark.sql import functions as F
 
 from slabwise.llm.common import checkpointed
 
-REMARK_SHARE = 0.0005  # of all texts: a segment that closes so many different texts is a remark
-REMARK_LEAST = 3
+REMARK_SHARE = 0.005  # of a field's open texts: a segment that closes such a share of different texts is a remark
+REMARK_LEAST = 3  # different texts behind which a remark stands at least
 SPIKE_FACTOR = 4.0  # times the mean of the 8 lengths around
 SPIKE_LEAST = 4
-END = 240  # characters that show how a text ends
-WHOLE_WORDS = 5  # an answer of fewer words that is all there is has lost nothing
+LONGER = 0.1  # times the texts at a limit: at most so many may be longer
+WHOLE_WORDS = 5  # an answer of fewer words, off a limit and without a mark of cutting, has lost nothing
 
 #: Marks that cutting leaves behind, and what may close a sentence.
 _BLANK = r"[\s\p{Z}​﻿]"
@@ -38,42 +41,42 @@ def _trimmed(text: Column) -> Column:
 def tails(rows: DataFrame) -> DataFrame:
     """rows: (field, rec_id, source, text). One row per non-null text with its lengths and how
     it ends: closed (terminal punctuation), tail (last segment in lower case, digits masked), decimal (the
-    word before a final number, '' without one). How a text ends shows in its last characters,
-    so the patterns see only those; lengths and trimming take the whole text."""
+    word before a final number, '' without one), marked (ends in a mark of cutting), words."""
     d = rows.filter(F.col("text").isNotNull()).withColumn("_all", _trimmed("text"))
-    d = d.withColumn("_end", F.expr(f"right(_all, {END})"))
-    d = d.withColumn("_body", F.regexp_replace("_end", rf"(?:{_BLANK}{{0,3}}{_MARKS})+$", ""))
+    d = d.withColumn("_body", F.regexp_replace("_all", rf"(?:{_BLANK}{{0,3}}{_MARKS})+$", ""))
     closed = F.col("_body").rlike(_CLOSED)
-    segment = F.element_at(F.split("_end", r"(?<=[.!?。！？؟][\"'”’»)\]*_]{0,3})\s+|\n"), -1)
-    number = F.regexp_extract(F.expr("right(_body, 60)"), r"([\p{L}±]++)\s[0-9]++\.$", 1)
+    segment = F.element_at(F.split("_all", r"(?<=[.!?。！？؟][\"'”’»)\]*_]{0,3})\s+|\n"), -1)
+    number = F.regexp_extract("_body", r"([\p{L}±]++)\s[0-9]++\.$", 1)
     return d.select(
         "field", "rec_id", "source", F.length("text").cast("bigint").alias("chars"), F.octet_length("text").cast("bigint").alias("bytes"), closed.alias("closed"),
         F.when(~closed, F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(segment, r"\d", "0"), r"\s+", " "), r" (?=[,.;:!?)])", "")))).alias("tail"),
         F.when(~closed, F.xxhash64(F.expr("left(_all, greatest(length(_all) - 40, 0))"))).alias("head"),
-        F.when(~closed, F.size(F.split("_all", r"\s+"))).alias("words"),
+        F.when(~closed, F.size(F.array_remove(F.split("_body", r"\s+"), ""))).alias("words"), (F.length("_body") < F.length("_all")).alias("marked"),
         F.when(closed, number).otherwise(F.lit("")).alias("decimal"),
     )
 
 
 def spikes(t: DataFrame) -> DataFrame:
-    """(field, source, unit, at, n, n_open, near) of each length with a spike of open texts. unit is
-    chars or bytes. near: mean number at the 8 lengths around."""
+    """(field, source, unit, at, n, n_open, near, n_longer) of each length with a spike of open texts at the
+    maximum. unit is chars or bytes; near: mean number at the 8 lengths around; n_longer: texts
+    of the field and source beyond it. The histogram has a row per length, not per text."""
     lengths = t.select("field", "source", "closed", F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"))).alias("unit", "at"))
     h = lengths.groupBy("field", "source", "unit", "at").agg(F.count("*").alias("n"), F.count_if(~F.col("closed")).alias("n_open"))
-    around = Window.partitionBy("field", "source", "unit").orderBy("at").rangeBetween(-4, 4)
-    h = h.withColumn("near", (F.sum("n_open").over(around) - F.col("n_open")) / F.lit(8.0))
-    return h.filter((F.col("n_open") >= SPIKE_LEAST) & (F.col("n_open") > SPIKE_FACTOR * F.greatest("near", F.lit(0.5))))
+    by = Window.partitionBy("field", "source", "unit").orderBy("at")
+    h = h.withColumn("near", (F.sum("n_open").over(by.rangeBetween(-4, 4)) - F.col("n_open")) / F.lit(8.0))
+    h = h.withColumn("n_longer", F.coalesce(F.sum("n").over(by.rangeBetween(1, Window.unboundedFollowing)), F.lit(0)))
+    return h.filter((F.col("n_open") >= SPIKE_LEAST) & (F.col("n_open") > SPIKE_FACTOR * F.greatest("near", F.lit(0.5))) & (F.col("n_longer") <= LONGER * F.col("n")))
 
 
-def remarks(loose: DataFrame, total: DataFrame) -> DataFrame:
-    """(tail) of every closing remark: at least two words, no heading, behind enough different
-    texts. loose: open texts of no spike length, at which the same words recur by cutting alone.
-    Copies of one text count once, so a text that was copied often is no remark."""
+def remarks(loose: DataFrame) -> DataFrame:
+    """(tail) of every closing remark: at least two words, no heading, behind enough different texts of
+    some field. loose: open texts of no limit length, at which the same words recur by cutting
+    alone. Copies of one text count once, so a text that was copied often is no remark."""
     named = loose.filter(F.col("tail").rlike(r"\S\s+\S") & ~F.col("tail").rlike(r":\W*$"))
-    heads = named.groupBy("tail", "head").agg(F.lit(1).alias("_one"))
-    least = total.agg(F.greatest(F.count("*") * REMARK_SHARE, F.lit(float(REMARK_LEAST))).alias("_least"))
-    counts = heads.groupBy("tail").agg(F.count("*").alias("_n"))
-    return counts.join(F.broadcast(least), F.col("_n") >= F.col("_least")).select("tail")
+    heads = named.groupBy("field", "tail", "head").agg(F.lit(1).alias("_one"))
+    counts = heads.groupBy("field", "tail").agg(F.count("*").alias("_n"))
+    total = counts.groupBy("field").agg(F.sum("_n").alias("_all"))
+    return counts.join(total, "field").filter((F.col("_n") >= REMARK_LEAST) & (F.col("_n") >= REMARK_SHARE * F.col("_all"))).select("tail").distinct()
 
 
 def decimal_words(rows: DataFrame) -> DataFrame:
@@ -87,9 +90,9 @@ def unfinished(rows: DataFrame) -> DataFrame:
     """(field, rec_id, source, chars, bytes, at_limit, reason) of every unfinished text.
 
     rows: (field, rec_id, source, text); other columns are ignored. reason is limit (no terminal
-    punctuation at a spike length), open (none, and no closing remark) or decimal (stops inside
-    a decimal number). Null and blank texts and whole answers of a few words are not
-    unfinished; rows without a field or an id are left out; very long texts are taken whole; repeated rows give one row."""
+    punctuation at a limit), open (none, and no closing remark) or decimal (stops inside a decimal
+    number). Null and blank texts are not unfinished, nor are answers of a few words, unless they
+    stand at a limit or carry a mark of cutting behind some word; rows without a field or an id are left out; very long texts are taken whole; repeated rows give one row."""
     rows = rows.select("field", "rec_id", "source", "text").filter(F.col("field").isNotNull() & F.col("rec_id").isNotNull())
     t = checkpointed(tails(rows))  # narrow: no texts
     limits = spikes(t).select("field", "source", "unit", "at")
@@ -99,8 +102,10 @@ def unfinished(rows: DataFrame) -> DataFrame:
     s = s.join(by_chars, (F.col("field") == F.col("_f")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("chars") == F.col("_at")), "left")
     s = s.join(by_bytes, (F.col("field") == F.col("_f2")) & F.col("source").eqNullSafe(F.col("_s2")) & (F.col("bytes") == F.col("_at2")), "left")
     at_limit = F.coalesce(F.col("_c"), F.lit(False)) | F.coalesce(F.col("_b"), F.lit(False))
-    loose = s.select("field", "rec_id", "source", "chars", "bytes", "tail", "head", "words", at_limit.alias("at_limit"))
-    suspects = loose.filter((F.col("words") >= WHOLE_WORDS) & (F.col("chars") > 0)).join(remarks(loose.filter(~F.col("at_limit")), t), "tail", "left_anti")
+    loose = s.select("field", "rec_id", "source", "chars", "bytes", "tail", "head", "words", "marked", at_limit.alias("at_limit")).filter("words > 0")
+    elsewhere = loose.filter(~F.col("at_limit"))
+    open_ = elsewhere.filter((F.col("words") >= WHOLE_WORDS) | (F.col("marked") & (F.col("words") > 1))).join(remarks(elsewhere), "tail", "left_anti")
+    suspects = loose.filter("at_limit").select(*open_.columns).unionByName(open_)
     out = suspects.select("field", "rec_id", "source", "chars", "bytes", "at_limit", F.when(F.col("at_limit"), "limit").otherwise("open").alias("reason"))
     inner = t.filter(F.col("decimal") != "").join(decimal_words(rows), "decimal").filter(F.col("inside") > 20 * F.col("final"))
     inner = inner.select("field", "rec_id", "source", "chars", "bytes", F.lit(False).alias("at_limit"), F.lit("decimal").alias("reason"))

@@ -54,6 +54,14 @@ def test_top_n_hot_and_cold(spark):
     for hot_rows in (100, 10_000):
         got = [tuple(r) for r in top_n(df, "case_id", "score", "cand_id", 4, hot_rows=hot_rows, salt_rows=200).select("case_id", "cand_id").collect()]
         assert len(got) == len(set(got)) and set(got) == want
+    import slabwise.llm.topn as topn
+
+    most, topn.MOST_HOT = topn.MOST_HOT, 3
+    try:  # more hot groups than may be broadcast
+        got = [tuple(r) for r in top_n(df, "case_id", "score", "cand_id", 4, hot_rows=3, salt_rows=2).select("case_id", "cand_id").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    finally:
+        topn.MOST_HOT = most
     assert top_n(df.limit(0), "case_id", "score", "cand_id", 4).count() == 0
     assert top_n(df, "case_id", "score", "cand_id", 0).count() == 0
     with pytest.raises(ValueError):
@@ -150,8 +158,13 @@ def test_cross_split_against_all_pairs(spark):
                 x, y = names(ia), names(ib)
                 if key(ca) and key(ca) == key(cb) or like(ta or "", tb or "") >= 0.5 or x and y and len(x & y) >= 0.5 * len(x | y):
                     want.add((a, b))
-    got = [(r["a"], r["b"]) for r in cross_split(df, "rec_id", "split_name", "case_id", "response", "images").collect()]
+    found = cross_split(df, "rec_id", "split_name", "case_id", "response", "images").collect()
+    got = [(r["a"], r["b"]) for r in found]
     assert len(got) == len(set(got)) and set(got) == want
+    by_id = {r[0]: r[3] for r in rows}
+    for r in found:
+        x, y = triples(by_id[r["a"]] or ""), triples(by_id[r["b"]] or "")
+        assert r["containment"] is None if not r["by_text"] else r["containment"] == pytest.approx(len(x & y) / len(y))
     assert cross_split(df.limit(0), "rec_id", "split_name", "case_id", "response", "images").count() == 0
 
 
@@ -188,6 +201,22 @@ def test_crowded_keys_are_compared_in_blocks(spark):
     assert wide <= got and all(like(d[a][1], d[b][1]) >= 0.5 for a, b in got)
 
 
+def test_pairs_that_only_a_common_neighbour_shows(spark):
+    rng = random.Random(51)
+    base = [rng.choice(WORDS) for _ in range(120)]
+    rows = [(0, 0, " ".join(base))]
+    for i in range(1, 13):
+        w = list(base)
+        for k in rng.sample(range(120), 7):
+            w[k] = rng.choice(WORDS)
+        rows.append((0, i, " ".join(w)))
+    want = {(a, b) for _, a, t in rows for _, b, u in rows if a < b and like(t, u) >= 0.5}
+    df = spark.createDataFrame(rows, "field int, id long, text string")
+    few = near_duplicates(df, 0.5, n_bands=12, band_rows=5, slots=61, hot=4)
+    got = {(r["id_a"], r["id_b"]) for r in duplicate_pairs(*few).collect()}
+    assert len(want) > 20 and got <= want and len(got) > 0.9 * len(want)
+
+
 def test_null_ids_are_left_out(spark):
     t = " ".join(WORDS[:40])
     df = spark.createDataFrame([(0, None, t), (0, 1, t), (None, 2, t), (0, 3, t)], "field int, id long, text string")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slabwise.llm.defects import pair_defects
-from slabwise.llm.packing import pack, shortest_pack_first
+from slabwise.llm.packing import fill, pack, shortest_pack_first
 from slabwise.llm.personal import LEAN, Words, clean_name, label, learn, load, mentions_of, redact, save, scan, spark_runner, train
 from slabwise.llm.tagger import KINDS, UNKNOWN, Tagger, codes, fit, spans, tag_texts
 from slabwise.llm.tokens import VOCABULARY, Encoder, encode, sentencepiece_model, sizes
@@ -43,6 +43,20 @@ def test_unfinished(spark):
     assert {r["at"] for r in spikes(tails(df)).collect() if r["source"] == "lim"} == {201}
 
 
+def test_limits_decide_whatever_the_last_words_are(spark):
+    texts = reports(300, 3)
+    rows = [("f", i, "s", t + " Read and released 10:" + str(10 + i % 50)) for i, t in enumerate(texts[:60])] + [("f", 100 + i, "s", t) for i, t in enumerate(texts)]
+    long = [" ".join(texts[i : i + 4])[:120] for i in range(30)]
+    rows += [("f", 1000 + i, "lim", t[:97] + " Read and released 10:1" if i < 8 else t) for i, t in enumerate(long)] + [("f", 2000, "lim", "Open vessel"), ("f", 2001, "lim", "The lef…"), ("f", 2002, "lim", "…"), ("f", 2003, "lim", "Patent")]
+    df = spark.createDataFrame(rows, "field string, rec_id long, source string, text string")
+    got = {r["rec_id"]: r["reason"] for r in unfinished(df).collect()}
+    at = {1000 + i for i, t in enumerate(long) if i < 8 or not t.rstrip().endswith(".")}
+    assert {k for k in got if 1000 <= k < 2000} == at and {got[k] for k in at} == {"limit"} and not [k for k in got if k < 1000]
+    assert {k for k in got if k >= 2000} == {2001}
+    twice = df.unionByName(df.withColumn("rec_id", F.col("rec_id") + 10_000).withColumn("field", F.lit("g")))
+    assert {r["rec_id"] for r in unfinished(twice).collect() if r["rec_id"] < 10_000} == set(got)
+
+
 def test_stops_inside_a_decimal(spark):
     rows = [("f", i, "s", f"It measures {i % 9}.{i % 7} mm at slab {i}.") for i in range(80)] + [("f", 900, "s", "Seen at the left side. It measures 4.")]
     got = unfinished(spark.createDataFrame(rows, "field string, rec_id long, source string, text string")).collect()
@@ -58,6 +72,8 @@ DEFECTS = [
     ("Der linke Abschnitt ist offen und gut abgrenzbar, die rechte Seite wird zu 40 Prozent versorgt. Keine Einengung über 7 mm, eher durch Bewegung. Wegen der Dosis ist das Bild nicht gut.", "other_language"),
     ("El segmento izquierdo queda bien definido y no hay corte en el ramo. La densidad del tálamo es de 20 UH por una dosis baja en los cortes 3 a 9 con la serie.", "other_language"),
     ("Снимок показывает открытые сосуды без признаков закупорки и сужения просвета артерий слева.", "other_language"), (REPORT[:-30], "truncated"), (REPORT[:-9] + "…", "truncated"),
+    ("Assess these 8 slabs", "copy"), (REPORT + " See (figure 3.", "truncated"), (REPORT + " ```x.", "truncated"), (REPORT + " See (figure 3).", None),
+    ("O segmento esquerdo não é visível e há uma imagem do lado direito com mais ruído para a base.", "other_language"),
     (REPORT, None), ("No occlusion.", None), ("Patent.", None), ("No", None), ("I cannot assess the P1 segment because of motion. " + REPORT, None), (PROMPT + " " + REPORT + " " + REPORT.replace("left", "upper").replace("12", "31"), None),
     (REPORT + " The note said: \"keine Einengung, Befund gut\".", None), ("Findings: odd shadows. Impression: huge clot everywhere!", None),
 ]
@@ -150,6 +166,15 @@ def test_pack(spark):
         assert at <= 64
         used += at
     assert used / (64 * len(seq)) > 0.97
+    f = fill(pack(df, "doc_id", "n", 64), 64).first()
+    assert f["n_tokens"] == used and f["n_sequences"] == len(seq) and f["least_sequences"] <= f["n_sequences"] and f["fill"] > 0.97
+    import slabwise.llm.packing as packing
+
+    many, packing.SALT_ROWS = packing.SALT_ROWS, 100
+    try:
+        assert fill(pack(df, "doc_id", "n", 64), 64).first() == f
+    finally:
+        packing.SALT_ROWS = many
     assert pack(df.limit(0), "doc_id", "n", 64).count() == 0
     assert {r["seq_id"] for r in pack(df.filter("n = 0"), "doc_id", "n", 64).collect()} == {0}
 
