@@ -3,7 +3,6 @@ word hashing over Arrow string buffers."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -167,20 +166,22 @@ def unique_sets(values: np.ndarray, text: np.ndarray, n_texts: int) -> tuple[np.
     return key & _M((1 << HASH_BITS) - 1), t, np.bincount(t, minlength=n_texts)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished jobs now, not at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go when their query has ended
 
 
 def written(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared checkpoint folder, which cuts the lineage and
-    survives lost executors; the folder is removed when the application ends."""
+    survives lost executors. The shuffle files of its making are removed at once; the folder is removed when the application ends."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     sc = spark.sparkContext
     jvm, at = sc._jvm, f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, was) if was is not None else spark.conf.unset(CLEANUP)
     path = jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)
