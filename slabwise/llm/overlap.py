@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slabwise.llm.common import written
-from slabwise.llm.prefixes import CROWD, prefix_candidates
-from slabwise.llm.similar import similar_classes
+from slabwise.llm.prefixes import BLOCK, prefix_pairs
 
 
 def image_names(images: Column) -> Column:
@@ -58,19 +57,12 @@ def same_images(d: DataFrame, least: float) -> DataFrame:
     return near.join(ids.filter("side = 0").select(F.col("c").alias("ca"), F.col("id").alias("a")), "ca").join(ids.filter("side = 1").select(F.col("c").alias("cb"), F.col("id").alias("b")), "cb").select("a", "b")
 
 
-def same_text(d: DataFrame, least: float, hot: int = CROWD) -> DataFrame:
+def same_text(d: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(a, b, containment): ids whose texts have a likeness of at least `least`, and the share of b's triples
     that a holds. Each text is known by its triples
     in which fewest texts meet - as many as a partner at that likeness can't miss - and those
-    of the evaluation texts are looked up in those of training, partition by partition."""
-    rows = d.select(F.lit(0).alias("field"), "id", "side", "text")
-    members, links = similar_classes(rows, prefix_candidates, least, sided=True, hot=hot)
-    # of the triples of both, a pair of likeness s shares s / (1 + s)
-    both = F.round(F.col("likeness") / (1 + F.col("likeness")) * (F.col("n_a") + F.col("n_b")))
-    ends = links.select("class_a", "class_b", (both / F.col("n_b")).alias("containment")).unionByName(links.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b"), (both / F.col("n_a")).alias("containment")))
-    a = members.filter("side = 0").select(F.col("class").alias("class_a"), F.col("id").alias("a"))
-    b = members.filter("side = 1").select(F.col("class").alias("class_b"), F.col("id").alias("b"))
-    return ends.join(a, "class_a").join(b, "class_b").select("a", "b", "containment")
+    of the training texts are looked up in those of evaluation, block by block."""
+    return prefix_pairs(d, least, block)
 
 
 def cross_split(df: DataFrame, key: str, split: str, case: str, text: str, images: str, train: str = "train", evaluation: list[str] | None = None, likeness: float = 0.5) -> DataFrame:

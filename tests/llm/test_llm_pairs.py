@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slabwise.llm import common as C
+from slabwise.llm import prefixes as P
 from slabwise.llm.duplicates import duplicate_groups, duplicate_pairs, near_duplicates
 from slabwise.llm.overlap import cross_split, image_names, same_text
 from slabwise.llm.similar import Texts, groups, superminhash
@@ -251,3 +252,43 @@ def test_texts_without_a_long_run_in_common(spark):
     assert len(want) == 6
     df = spark.createDataFrame(rows, "id long, side int, text string")
     assert {(r["a"], r["b"]) for r in same_text(df, 0.5).collect()} == want
+
+
+def test_overlap_of_texts_shuffles_little(spark):
+    rng = random.Random(61)
+    texts = []
+    for _ in range(1000):  # of few different words, so that nearly all triples are keys
+        w = rng.choices(WORDS[:30], k=60)
+        texts += [" ".join(w), " ".join(w[: rng.randint(30, 59)])]
+    rows = [(i, i % 4 == 3, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, evaluation boolean, text string").select("id", F.col("evaluation").cast("int").alias("side"), "text")
+    want = {(a, b) for a, b in ((i - 1, i) for i in range(3, len(texts), 4)) if like(texts[a], texts[b]) >= 0.5}
+    sc, jvm = spark._jsc.sc(), spark._jvm
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        seen = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(seen.apply(i).shuffleWriteBytes() for i in range(seen.size()))
+
+    before = written()
+    got = {(r["a"], r["b"]) for r in same_text(df, 0.5).collect()}
+    assert len(want) > 50 and got == want
+    assert written() - before < 4 * sum(map(len, texts))
+
+
+def test_blocks_of_evaluation_texts(spark):
+    rng = random.Random(71)
+    texts = family(rng, 30, 4, 8) + [" ".join(rng.choice(WORDS) for _ in range(3000))]
+    texts.append(texts[-1].rsplit(" ", 900)[0])
+    rows = [(i, i % 2, t) for i, t in enumerate(texts)] + [(1001, 1, texts[0]), (1000, 0, texts[0]), (1003, 1, texts[0])]
+    d = {i: (s, t) for i, s, t in rows}
+    want = {(a, b): len(triples(d[a][1]) & triples(d[b][1])) / len(triples(d[b][1])) for a in d for b in d if d[a][0] == 0 and d[b][0] == 1 and like(d[a][1], d[b][1]) >= 0.5}
+    df = spark.createDataFrame(rows, "id long, side int, text string")
+    for block, step in ((7, 5), (1000, P.STEP)):
+        was, P.STEP = P.STEP, step  # pairs of one key over several steps
+        try:
+            got = {(r["a"], r["b"]): r["containment"] for r in same_text(df, 0.5, block).collect()}
+        finally:
+            P.STEP = was
+        assert got.keys() == want.keys() and got == pytest.approx(want)
+    assert (120, 121) in want and (1000, 1003) in want
