@@ -121,7 +121,12 @@ def ngram_counts(df: DataFrame, text: str, n: int) -> DataFrame:
 
 def shared_ngrams(left: DataFrame, key: str, text: str, right: DataFrame, other: str, n: int) -> DataFrame:
     """(key, n_shared): number of distinct n-grams of each left text that occur in any right text;
-    texts without one are left out."""
-    mine = left.select(key, F.explode(F.array_distinct(ngrams(tokens(text), n))).alias("g"))
-    theirs = right.select(F.explode(F.array_distinct(ngrams(tokens(other), n))).alias("g")).distinct()
-    return mine.join(theirs, "g", "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
+    texts without one are left out. N-grams travel as 96 bits of two hashes, and neither side is ever
+    broadcast: a small file holds many times its size in n-grams."""
+
+    def hashed(df: DataFrame, *keep: Column) -> DataFrame:
+        return df.select(*keep, F.xxhash64(F.lit(1), "g").alias("g1"), F.shiftright(F.xxhash64(F.lit(2), "g"), 32).cast("int").alias("g2"))
+
+    mine = hashed(left.select(F.col(key).alias("_k"), F.explode(F.array_distinct(ngrams(tokens(text), n))).alias("g")), F.col("_k"))
+    theirs = hashed(right.select(F.explode(F.array_distinct(ngrams(tokens(other), n))).alias("g"))).distinct()
+    return mine.join(theirs.hint("merge"), ["g1", "g2"], "left_semi").groupBy(F.col("_k").alias(key)).agg(F.count("*").alias("n_shared"))

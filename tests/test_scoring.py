@@ -150,3 +150,11 @@ def test_rouge_edges(spark):
 def test_ngrams_of_short_texts(spark):
     df = spark.createDataFrame([("a",), ("a b",), ("",)], "t string")
     assert [x[0] for x in df.select(T.ngrams(T.tokens("t"), 2)).collect()] == [[], ["a b"], []]
+
+
+def test_shared_ngrams_are_never_broadcast(spark):
+    left = spark.createDataFrame([(1, "a b c d a b c"), (2, "b c d"), (3, "x y"), (4, None), (5, "A  B\tc")], "k int, t string")
+    right = spark.createDataFrame([("z a b c",), ("b c d",), ("ab c",), (None,)], "o string")
+    out = T.shared_ngrams(left, "k", "t", right, "o", 3)
+    assert {r["k"]: r["n_shared"] for r in out.collect()} == {1: 2, 2: 1, 5: 1}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
