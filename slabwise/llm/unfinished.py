@@ -43,10 +43,11 @@ def tails(rows: DataFrame) -> DataFrame:
     it ends: closed (terminal punctuation), tail (last segment in lower case, digits masked), decimal (the
     word before a final number, '' without one), marked (ends in a mark of cutting), words."""
     d = rows.filter(F.col("text").isNotNull()).withColumn("_all", _trimmed("text"))
-    d = d.withColumn("_body", F.regexp_replace("_all", rf"(?:{_BLANK}{{0,3}}{_MARKS})+$", ""))
+    may = F.right("_all", F.lit(1)).isin("…", "�", "]", ")") | F.endswith("_all", F.lit("..."))  # only such ends go through the pattern
+    d = d.withColumn("_body", F.when(may, F.regexp_replace("_all", rf"(?:{_BLANK}{{0,3}}{_MARKS})+$", "")).otherwise(F.col("_all")))
     closed = F.col("_body").rlike(_CLOSED)
-    segment = F.element_at(F.split("_all", r"(?<=[.!?。！？؟][\"'”’»)\]*_]{0,3})\s+|\n"), -1)
-    number = F.regexp_extract("_body", r"([\p{L}±]++)\s[0-9]++\.$", 1)
+    segment = F.element_at(F.split("_all", r"(?=\s)(?<=[.!?。！？؟][\"'”’»)\]*_]{0,3})\s+|\n"), -1)
+    number = F.when(F.right("_body", F.lit(4)).rlike(r"[0-9]\.$"), F.regexp_extract("_body", r"(?<![\p{L}±])([\p{L}±]++)\s[0-9]++\.$", 1)).otherwise(F.lit(""))
     return d.select(
         "field", "rec_id", "source", F.length("text").cast("bigint").alias("chars"), F.octet_length("text").cast("bigint").alias("bytes"), closed.alias("closed"),
         F.when(~closed, F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(segment, r"\d", "0"), r"\s+", " "), r" (?=[,.;:!?)])", "")))).alias("tail"),
@@ -81,7 +82,7 @@ def remarks(loose: DataFrame) -> DataFrame:
 
 def decimal_words(rows: DataFrame) -> DataFrame:
     """(word, inside, final): how often the corpus writes 'word 1.5' and 'word 1.' at an end."""
-    found = rows.filter(F.col("text").isNotNull()).select(F.explode(F.expr(r"regexp_extract_all(text, '([\\p{L}±]++\\s[0-9]++\\.(?:[0-9]|\\s|$))', 1)")).alias("m"))
+    found = rows.filter(F.col("text").isNotNull()).select(F.explode(F.expr(r"regexp_extract_all(text, '(?<![\\p{L}±])([\\p{L}±]++\\s[0-9]++\\.(?:[0-9]|\\s|$))', 1)")).alias("m"))
     parts = found.select(F.regexp_extract("m", r"^([\p{L}±]+)", 1).alias("decimal"), F.col("m").rlike(r"\.[0-9]$").alias("_in"))
     return parts.groupBy("decimal").agg(F.count_if("_in").alias("inside"), F.count_if(~F.col("_in")).alias("final"))
 

@@ -308,3 +308,16 @@ def test_tagger_is_kept_as_a_table(spark, tagger, tmp_path):
     save(tagger, spark, str(tmp_path / "tagger"))
     again = load(spark, str(tmp_path / "tagger"))
     assert all((again.p[k] == v).all() for k, v in tagger.p.items())
+
+
+def test_a_long_run_of_letters_is_read_once(spark):
+    import time
+
+    from slabwise.llm.unfinished import decimal_words
+
+    long = "x" * 300_000
+    df = spark.createDataFrame([("f", 1, "s", long + " 5."), ("f", 2, "s", long), ("f", 3, "s", "a lumen of 1.5 mm, later 2.")], "field string, rec_id long, source string, text string")
+    began = time.time()
+    assert {r["rec_id"]: r["decimal"] for r in tails(df).collect()} == {1: long, 2: "", 3: "later"}
+    assert {(r["decimal"], r["inside"], r["final"]) for r in decimal_words(df).collect()} == {(long, 0, 1), ("of", 1, 0), ("later", 0, 1)}
+    assert time.time() - began < 15
