@@ -54,8 +54,8 @@ def _words(text: str) -> Column:
 def empty(text: Column, words: Column) -> Column:
     """Nothing but blanks, headings, placeholders or markup; null too. words: those of the text."""
     known = set(regex.findall(r"\p{L}+", HEADING.replace("[oó]", "ó") + " " + PLACEHOLDER.replace(r"\s", " ")))
-    said = F.array_except(words, F.array(*map(F.lit, sorted(known))))  # words that are no heading and no placeholder
-    full = (F.size(said) > 0) & ~F.contains(text, F.lit("<")) & ~F.contains(text, F.lit("&")) & ~F.contains(text, F.lit("`"))
+    said = F.exists(words, lambda w: ~w.isin(sorted(known)))  # a word that is no heading and no placeholder
+    full = said & ~F.contains(text, F.lit("<")) & ~F.contains(text, F.lit("&")) & ~F.contains(text, F.lit("`"))
     rest = F.when(full, F.lit("x")).otherwise(text)  # only what may be empty goes through the patterns
     bare = F.regexp_replace(rest, _MARKUP, " ")
     bare = F.regexp_replace(bare, rf"(?i)(?<![\p{{L}}])(?:{HEADING})\s*(?::|(?=\W*$)|(?=\W*\n))", " ")
@@ -79,10 +79,29 @@ def unclosed(text: Column) -> Column:
     return out
 
 
-def _language(words: Column) -> Column:
+def telling(words: Column) -> Column:
+    """The different words that some list of function words or language names has, so that a text's words are gone through once."""
+    known = sorted({w for v in [*FUNCTION_WORDS.values(), *LANGUAGE_NAMES.values()] for w in v})
+    return F.array_distinct(F.filter(words, lambda w: w.isin(known)))
+
+
+def _spoken(told: Column, language: str) -> Column:
+    """Number of the different function words of a language. told: telling() of the words."""
+    return F.size(F.filter(told, lambda w: w.isin(FUNCTION_WORDS[language])))
+
+
+def _language(told: Column) -> Column:
     """struct(lang, n) of the language with the most different function words; ties by name."""
-    scored = [F.struct(F.size(F.array_intersect(words, F.array(*map(F.lit, v)))).alias("n"), F.lit(k).alias("lang")) for k, v in sorted(FUNCTION_WORDS.items(), reverse=True)]
-    return F.greatest(*scored)
+    return F.greatest(*[F.struct(_spoken(told, k).alias("n"), F.lit(k).alias("lang")) for k in sorted(FUNCTION_WORDS, reverse=True)])
+
+
+def may_copy(answer: Column, prompt: Column) -> Column:
+    """Whether the share of the answer's triples in the prompt can reach COPY_SHARE, by words alone. Each
+    different word that begins a triple and isn't in the prompt begins a different triple that isn't there, and
+    the answer has no more different triples than places."""
+    places = F.size(answer) - 2
+    missing = F.size(F.array_except(F.slice(answer, 1, F.greatest(places, F.lit(0))), prompt))
+    return (F.size(answer) >= COPY_WORDS) & (missing <= (1 - COPY_SHARE) * places + 0.5)  # 0.5: above rounding
 
 
 def pair_defects(rows: DataFrame) -> DataFrame:
@@ -103,7 +122,8 @@ def pair_defects(rows: DataFrame) -> DataFrame:
         n = F.size(c)
         return F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))).otherwise(F.array().cast("array<bigint>"))
 
-    w = w.withColumn("_at", F.array_distinct(triples("_a"))).withColumn("_pt", triples("_p"))
+    w = w.withColumn("_may", may_copy(F.col("_a"), F.col("_p"))).withColumn("_ca", F.when(F.col("_may"), F.col("_a"))).withColumn("_cp", F.when(F.col("_may"), F.col("_p")))
+    w = w.withColumn("_at", F.array_distinct(triples("_ca"))).withColumn("_pt", triples("_cp"))
     shared = F.size(F.array_intersect("_at", "_pt"))
     begins = (F.size("_a") >= 2) & (F.size("_p") > F.size("_a")) & (F.slice("_p", 1, F.greatest(F.size("_a"), F.lit(1))) == F.col("_a"))
     is_copy = begins | (F.size("_a") >= COPY_WORDS) & (F.size("_at") > 0) & (shared >= COPY_SHARE * F.size("_at"))
@@ -111,15 +131,15 @@ def pair_defects(rows: DataFrame) -> DataFrame:
     is_refusal = F.when(reports, F.lit("")).otherwise(F.col("answer")).rlike(REFUSAL)
 
     foreign = r"\p{IsCyrillic}\p{IsArabic}\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsGreek}\p{IsHebrew}\p{IsDevanagari}\p{IsThai}"
-    la, lp = _language(F.col("_a")), _language(F.col("_p"))
-    w = w.withColumn("_la", la).withColumn("_lp", lp)
-    asked = F.coalesce(*[F.when(F.arrays_overlap("_p", F.array(*map(F.lit, v))), F.lit(k)) for k, v in LANGUAGE_NAMES.items()])
+    w = w.withColumn("_ta", telling(F.col("_a"))).withColumn("_tp", telling(F.col("_p")))
+    w = w.withColumn("_la", _language(F.col("_ta"))).withColumn("_lp", _language(F.col("_tp")))
+    asked = F.coalesce(*[F.when(F.arrays_overlap("_tp", F.array(*map(F.lit, v))), F.lit(k)) for k, v in LANGUAGE_NAMES.items()])
     letters, alien = F.regexp_replace("answer", r"[^\p{L}]+", ""), F.regexp_replace("answer", rf"[^{foreign}]+", "")
     wide = F.octet_length("answer") > 1.25 * F.length("answer")  # these scripts take two bytes a letter and more
     script = F.when(wide, (F.length(alien) > 0.3 * F.length(letters)) & ~F.coalesce(F.col("prompt"), F.lit("")).rlike(f"[{foreign}]")).otherwise(F.lit(False))
     wanted = F.coalesce(asked, F.col("_lp.lang"))
     sure = (F.size("_a") >= LANGUAGE_WORDS) & (F.col("_la.n") >= LANGUAGE_LEAST) & (F.col("_lp.n") >= 3)
-    ahead = F.col("_la.n") >= 2 * F.size(F.array_intersect("_a", F.coalesce(*[F.when(wanted == k, F.array(*map(F.lit, v))) for k, v in FUNCTION_WORDS.items()])))
+    ahead = F.col("_la.n") >= 2 * F.coalesce(*[F.when(wanted == k, _spoken(F.col("_ta"), k)) for k in FUNCTION_WORDS])
     is_foreign = (sure & (F.col("_la.lang") != wanted) & ahead) | script
 
     cut = unfinished(base.select("field", "rec_id", "source", F.col("answer").alias("text"))).select("field", "rec_id", F.lit(True).alias("_cut"))

@@ -321,3 +321,45 @@ def test_a_long_run_of_letters_is_read_once(spark):
     assert {r["rec_id"]: r["decimal"] for r in tails(df).collect()} == {1: long, 2: "", 3: "later"}
     assert {(r["decimal"], r["inside"], r["final"]) for r in decimal_words(df).collect()} == {(long, 0, 1), ("of", 1, 0), ("later", 0, 1)}
     assert time.time() - began < 15
+
+
+def test_pair_defects_goes_through_all_words_once(spark):
+    """Copies around the threshold are as counted in Python; sets of whole texts are made only to leave out what can't be a copy."""
+    from slabwise.llm.defects import COPY_SHARE, COPY_WORDS, may_copy
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        prompt = [f"w{rng.randrange(rng.choice([4, 12, 60]))}" for _ in range(rng.randrange(0, 40))]
+        at = rng.randrange(len(prompt) + 1)
+        answer = (prompt[at:] + [f"{rng.choice('vw')}{rng.randrange(30)}" for _ in range(rng.randrange(0, 14))])[: rng.randrange(0, 30)]
+        rows.append(("f", i, "s", " ".join(prompt), " ".join(answer) + "."))
+    rows += [("f", 600, "s", None, "a b c d e f g."), ("f", 601, "s", "a b c d e f g", None)]
+    df = spark.createDataFrame(rows, "field string, rec_id long, source string, prompt string, answer string")
+
+    def copied(p, a):
+        if p is None or a is None:
+            return False
+        p, a = p.split(), a[:-1].split()
+        t, u = ({tuple(x[i : i + 3]) for i in range(len(x) - 2)} for x in (a, p))
+        return 2 <= len(a) < len(p) and p[: len(a)] == a or len(a) >= COPY_WORDS and len(t & u) >= COPY_SHARE * len(t)
+
+    out = pair_defects(df)
+    want = {r[1] for r in rows if copied(r[3], r[4])}
+    assert 50 < len(want) < 550 and {r["rec_id"] for r in out.collect() if "copy" in r["defects"]} == want
+    words = lambda c: F.array_remove(F.split(F.regexp_replace(c, r"\.", ""), " "), "")
+    may = {r["rec_id"]: r["m"] for r in df.select("rec_id", may_copy(words(F.col("answer")), words(F.col("prompt"))).alias("m")).collect()}
+    assert sum(m is False for m in may.values()) > 50
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(") == 1 and plan.count("array_except(") == 1
+
+
+def test_closed_is_told_by_the_last_character(spark):
+    from slabwise.llm.unfinished import _CLOSED, _closed
+
+    rng = random.Random(6)
+    marks = ".!?。！？؟\"'”’»)]*_\n\r\u0085\u2028\u2029…�a ,é"
+    texts = [""] + [rng.choice(["", "Patent ", "é. "]) + "".join(rng.choice(marks) for _ in range(rng.randrange(5))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", _closed(F.col("t")).alias("got"), F.col("t").rlike(_CLOSED).alias("want"))
+    r = df.collect()
+    assert [x["t"] for x in r if x["got"] != x["want"]] == [] and 500 < sum(x["got"] for x in r) < 3500
